@@ -6,18 +6,36 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from . import exact_dedup
+from . import chat_format, exact_dedup, token_store
 from .common import table
 
+#: Path of the tokenizer that the queries use; a parameter of the operators.
+def vocabulary() -> str:
+    import public_tokenizers
+
+    return public_tokenizers.path("byte_bpe_50k.json")
+
+
 Query = Callable[[SparkSession, str], DataFrame]
 
 
+def op2_chat_format(spark: SparkSession, sf_dir: str) -> DataFrame:
+    turns = chat_format.with_probe(table(spark, sf_dir, "conversations"))
+    return chat_format.chat_digests(turns, vocabulary())
+
+
+def op7_token_store(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return token_store.token_table(table(spark, sf_dir, "documents"), vocabulary())
+
+
 def op8_exact_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return exact_dedup.report(table(spark, sf_dir, "documents"))
 
 
 def queries() -> dict[str, Query]:
     return {
+        "op2_chat_format": op2_chat_format,
+        "op7_token_store": op7_token_store,
         "op8_exact_dedup": op8_exact_dedup,
     }
 
