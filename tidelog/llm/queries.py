@@ -5,8 +5,9 @@ from __future__ import annotations
 from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
-from . import chat_format, exact_dedup, token_store
+from . import chat_format, decontaminate, exact_dedup, license_scan, near_dedup, packing, quality, token_store, url_filter
 from .common import table
 
 #: Path of the tokenizer that the queries use; a parameter of the operators.
@@ -19,11 +20,48 @@ def vocabulary() -> str:
 Query = Callable[[SparkSession, str], DataFrame]
 
 
+def op1_best_fit_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return packing.pack(table(spark, sf_dir, "documents"))
+
+
 def op2_chat_format(spark: SparkSession, sf_dir: str) -> DataFrame:
     turns = chat_format.with_probe(table(spark, sf_dir, "conversations"))
     return chat_format.chat_digests(turns, vocabulary())
 
 
+def op3_quality_classifier(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return quality.report(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"))
+
+
+def op4_license_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return license_scan.scan(table(spark, sf_dir, "documents")).drop("spans")
+
+
+#: Captures have no day of their own; this rule deals them over a year.
+CAPTURE_DAY = "date_add(date'2024-01-01', cast(page_id % 365 as int))"
+
+
+def dated_list(captures: DataFrame) -> DataFrame:
+    """A list over the hosts of the captures, by a rule on the host's length: some hosts are blocked and later allowed
+    or dropped, and the domain of two labels above them is blocked for a while."""
+    host = captures.select(url_filter.host_of(F.col("url")).alias("value")).where("value is not null").distinct()
+    host = host.withColumn("n", F.length("value"))
+    start = F.lit("2024-01-01").cast("date")
+    own = host.where("n % 3 = 0").select("value", F.explode(F.array(F.struct(F.lit("block").alias("action"), F.date_add(start, (F.col("n") * 7 % 300).cast("int")).alias("day")), F.struct(F.when(F.col("n") % 2 == 0, "allow").otherwise("drop").alias("action"), F.date_add(start, (F.col("n") * 7 % 300 + 40).cast("int")).alias("day")))).alias("e")).select("value", "e.*")
+    top = host.select(F.substring_index("value", ".", -2).alias("value")).distinct().withColumn("n", F.length("value"))
+    above = top.select("value", F.explode(F.array(F.struct(F.lit("block").alias("action"), F.date_add(start, (F.col("n") * 11 % 200).cast("int")).alias("day")), F.struct(F.lit("drop").alias("action"), F.date_add(start, (F.col("n") * 11 % 200 + 60).cast("int")).alias("day")))).alias("e")).select("value", "e.*")
+    return own.unionByName(above)
+
+
+def op5_url_filter(spark: SparkSession, sf_dir: str) -> DataFrame:
+    pages = table(spark, sf_dir, "pages").select("page_id", "url", F.expr(CAPTURE_DAY).alias("day"))
+    return url_filter.judge(pages, dated_list(pages))
+
+
+def op6_minhash_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return near_dedup.report(table(spark, sf_dir, "documents"))
+
+
 def op7_token_store(spark: SparkSession, sf_dir: str) -> DataFrame:
     return token_store.token_table(table(spark, sf_dir, "documents"), vocabulary())
 
@@ -32,11 +70,21 @@ def op8_exact_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return exact_dedup.report(table(spark, sf_dir, "documents"))
 
 
+def op10_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return decontaminate.find(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"))
+
+
 def queries() -> dict[str, Query]:
     return {
+        "op1_best_fit_packing": op1_best_fit_packing,
         "op2_chat_format": op2_chat_format,
+        "op3_quality_classifier": op3_quality_classifier,
+        "op4_license_scan": op4_license_scan,
+        "op5_url_filter": op5_url_filter,
+        "op6_minhash_dedup": op6_minhash_dedup,
         "op7_token_store": op7_token_store,
         "op8_exact_dedup": op8_exact_dedup,
+        "op10_decontamination": op10_decontamination,
     }
 
 
