@@ -75,7 +75,10 @@ def op10_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def queries() -> dict[str, Query]:
+    import corpus_pipeline
+
     return {
+        "pipeline": corpus_pipeline.run,
         "op1_best_fit_packing": op1_best_fit_packing,
         "op2_chat_format": op2_chat_format,
         "op3_quality_classifier": op3_quality_classifier,
@@ -101,5 +104,42 @@ from keyed
 """
 
 
+#: The host's pattern is url_filter.host_of's.
+OP5 = r"""
+with pages_ as (
+  select page_id,
+         nullif(regexp_replace(lower(regexp_extract(coalesce(url, ''), '^[A-Za-z][A-Za-z0-9+.-]*://(?:[^/?#@]*@)?([^/?#:@\[\]]+)', 1)), '\.$', ''), '') as host,
+         date '2024-01-01' + cast(page_id % 365 as int) as day
+  from pages),
+hosts as (select distinct host as value, length(host) as n from pages_ where host is not null),
+tops as (
+  select distinct array_to_string(list_slice(string_split(value, '.'), greatest(1, len(string_split(value, '.')) - 1), len(string_split(value, '.'))), '.') as value from hosts),
+entries as (
+  select value, 'block' as action, date '2024-01-01' + cast(n * 7 % 300 as int) as day from hosts where n % 3 = 0
+  union all
+  select value, case when n % 2 = 0 then 'allow' else 'drop' end, date '2024-01-01' + cast(n * 7 % 300 + 40 as int) from hosts where n % 3 = 0
+  union all
+  select value, 'block', date '2024-01-01' + cast(length(value) * 11 % 200 as int) from tops
+  union all
+  select value, 'drop', date '2024-01-01' + cast(length(value) * 11 % 200 + 60 as int) from tops),
+one as (
+  select value, day as valid_from,
+         min_by(action, case action when 'allow' then 1 when 'block' then 2 else 3 end) as action
+  from entries group by value, day),
+spans as (select value, action, valid_from, lead(valid_from) over (partition by value order by valid_from) as valid_to from one),
+asked as (
+  select page_id, day, array_to_string(list_slice(labels, i, len(labels)), '.') as ask
+  from (select page_id, day, string_split(host, '.') as labels, unnest(range(1, len(string_split(host, '.')) + 1)) as i
+        from pages_ where host is not null)),
+met as (
+  select a.page_id, s.value, s.action from asked a
+  join spans s on a.ask = s.value and a.day >= s.valid_from and (s.valid_to is null or a.day < s.valid_to)
+  where s.action <> 'drop'),
+best as (select page_id, count(*) as n_active, max_by(value, length(value)) as entry, max_by(action, length(value)) as action from met group by page_id)
+select p.page_id, p.host, p.day, coalesce(b.n_active, 0) as n_active, b.entry, b.action, coalesce(b.action <> 'block', true) as kept
+from pages_ p left join best b using (page_id)
+"""
+
+
 def oracle_sql() -> dict[str, str]:
-    return {"op8_exact_dedup": OP8}
+    return {"op5_url_filter": OP5, "op8_exact_dedup": OP8}
