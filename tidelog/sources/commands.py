@@ -29,7 +29,8 @@ def read_lines(spark: SparkSession, path: str) -> DataFrame:
 def parse(lines: DataFrame, line: str = "line") -> DataFrame:
     """lines (without blank ones) plus op, a, b, file and error; a row has either an op or an error."""
     t = F.split(F.trim(F.regexp_replace(F.col(line), r"\s+", " ")), " ")
-    d = lines.where(F.trim(F.regexp_replace(F.col(line), r"\s+", " ")) != "").withColumn("_t", t)
+    # A generator keeps the optimizer from copying the tokenizer into each of the expressions below.
+    d = lines.withColumn("_t", F.explode(F.array(t))).where(F.element_at("_t", 1) != "")
     verb, n = F.element_at("_t", 1), F.size("_t")
     # One lookup of verb and number of words: a chain of conditions would be copied into everything that uses op.
     known = {f"{v} {words}": short for short, (long, words) in VERBS.items() for v in (short, long)}
