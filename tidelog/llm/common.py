@@ -182,28 +182,28 @@ def binaries(data: bytes | np.ndarray, offs: np.ndarray) -> pa.Array:
     return pa.Array.from_buffers(pa.binary(), len(offs) - 1, [None, pa.py_buffer(np.ascontiguousarray(offs, np.int32)), pa.py_buffer(data)])
 
 
-def components(edges: DataFrame, a: str = "a", b: str = "b", name: str = "components") -> DataFrame:
-    """(node, component) for the nodes of edges; a component's id is its smallest node.
+def components(edges: DataFrame, name: str = "components") -> DataFrame:
+    """(node, component) for the nodes of edges (a, b); a component's id is its smallest node.
 
-    Alternates the large-star and small-star steps, each a join on an aggregate, so that a node with very many
-    links is never gathered in one place; the rounds grow with the logarithm of the longest path. Each round is
+    Each round every node points to its smallest neighbour, pointers are followed once more, and the edges are
+    contracted to what they point to; the number of rounds grows with the logarithm of the longest path. All steps are
+    joins and aggregates, so a node with very many links is never gathered in one place, and each round's tables are
     written to the shared folder.
     """
-    spark = edges.sparkSession
-    now = edges.select(F.col(a).alias("a"), F.col(b).alias("b")).where("a <> b")
-    now = stored(now.select(F.greatest("a", "b").alias("a"), F.least("a", "b").alias("b")).distinct(), name)
-    seen = None
+    now = edges.select("a", "b").where("a <> b")
+    labels = None
     while True:
         both = now.unionByName(now.select(F.col("b").alias("a"), F.col("a").alias("b")))
-        least = both.groupBy("a").agg(F.min("b").alias("m"))
-        large = both.join(least, "a").where("b > a").select(F.col("b").alias("a"), F.least("a", "m").alias("b"))
-        large = large.where("a <> b").distinct()
-        m = large.groupBy("a").agg(F.min("b").alias("m"))
-        small = large.join(m, "a").select(F.explode(F.array(F.struct("a", F.col("m").alias("b")), F.struct(F.col("b").alias("a"), F.col("m").alias("b")))).alias("e")).select("e.*").where("a <> b").distinct()
-        now = stored(small, name)
-        mark = now.agg(F.count("*"), F.sum(F.xxhash64("a", "b").cast("decimal(38,0)"))).first()
-        if mark == seen:
+        first = stored(both.groupBy("a").agg(F.least("a", F.min("b")).alias("p")), name)
+        if not first.take(1):
             break
-        seen = mark
-    pairs = now.select(F.col("a").alias("node"), F.col("b").alias("component"))
-    return pairs.unionByName(pairs.select(F.col("component").alias("node"), "component").distinct())
+        second = first.select(F.col("a").alias("p"), F.col("p").alias("q"))
+        point = stored(first.join(second, "p").select(F.col("a").alias("node"), F.col("q").alias("to")), name)
+        if labels is None:
+            labels = point.select("node", F.col("to").alias("component"))
+        else:
+            moved = point.select(F.col("node").alias("component"), "to")
+            labels = stored(labels.join(moved, "component", "left").select("node", F.coalesce("to", "component").alias("component")), name)
+        x, y = (point.select(F.col("node").alias(c), F.col("to").alias(t)) for c, t in (("a", "x"), ("b", "y")))
+        now = stored(now.join(x, "a").join(y, "b").where("x <> y").select(F.col("x").alias("a"), F.col("y").alias("b")).distinct(), name)
+    return labels if labels is not None else edges.select(F.col("a").alias("node"), F.col("a").alias("component")).limit(0)

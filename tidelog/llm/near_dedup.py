@@ -1,19 +1,22 @@
 """MinHash near-duplicate removal with an inverted join on signature coordinates.
 
 Every text has a set of five-word shingles and a signature of COORDINATES minima. Texts with the same set are one
-class, represented by its smallest doc_id. The representatives are posted under each (coordinate, value) pair.
+class, represented by its smallest doc_id. The representatives are posted under each (coordinate, value) pair of the
+first POSTED coordinates.
 
-- Counting with prefixes: two texts that agree in MATCHES coordinates must share one of the COORDINATES - MATCHES + 1
+- Counting with prefixes: two texts that agree in MATCHES posted coordinates must share one of the POSTED - MATCHES + 1
   rarest postings of each, so only those are merged and the most frequent are skipped; a posting that nobody shares
-  goes first. Agreement is then counted on the signatures themselves.
-- Each posting is merged as a star around its smallest member, so a posting of n texts makes n - 1 pairs. Pairs
-  that agree in MATCHES coordinates are confirmed on the full sets (100 * intersection >= THRESHOLD * union).
-- Confirmed links make components. Postings that still hold several components go on with other centres, as long
-  as that joins components; what is left over is merged fully, but only across components. So no link between
-  different texts is lost, and the members of a large group of near copies aren't paired with each other.
-
-With 64 coordinates and 32 matches, a pair at the threshold is missed with a probability of 1e-6; two texts at a
-similarity of 0.4 become candidates in 6 of 100 cases and fail the confirmation.
+  goes first. Agreement is then counted on the whole signatures, and AGREE coordinates are asked for.
+- First each posting is merged as a star around its smallest member, so a posting of n texts makes n - 1 pairs. Pairs
+  that agree are confirmed on the full sets (100 * intersection >= THRESHOLD * union), and the confirmed links make
+  components.
+- Then the postings that still hold several components, without their centres, are merged fully, but only across
+  components and between sets of matching size. So no link between different texts is lost, and the members of a
+  large group of near copies aren't paired with each other. A posting of more than BLOCK texts is merged in pairs of
+  blocks.
+
+A pair at the threshold is missed with a probability of 1e-3 at most (0.8: 1e-5), and only if no chain of other links
+joins the two.
 
 Defined results
 ---------------
@@ -38,11 +41,12 @@ from .common import Words, batch_of, binaries, components, mix, passes, stored,
 
 K = 5
 THRESHOLD = 75
-COORDINATES = 64
-MATCHES = 32
-PREFIX = COORDINATES - MATCHES + 1
-#: Rounds of stars go on while a full merge across components would make more pairs than this many per posting.
-FULL_PAIRS = 4
+COORDINATES, AGREE = 128, 80
+POSTED, MATCHES = 64, 36
+PREFIX = POSTED - MATCHES + 1
+BLOCK = 4096
+#: Bits of the filter that keeps the sets of texts without candidates from being dealt; it has this size at any input.
+FILTER_BITS = 1 << 23
 
 _rng = np.random.default_rng(20240607)
 _FACTORS = _rng.integers(0, 1 << 63, COORDINATES, dtype=np.uint64) * np.uint64(2) + np.uint64(1)
@@ -60,12 +64,13 @@ def distinct_shingles(data: np.ndarray, offs: np.ndarray) -> tuple[np.ndarray, n
     return h[new], ends
 
 
-SIGNATURES = "doc_id bigint, n_shingles bigint, f1 bigint, f2 bigint, signature binary"
+SIGNATURES = "doc_id bigint, n_shingles bigint, f1 bigint, f2 bigint, posted binary, signature binary"
 
 
 def signatures(docs: DataFrame) -> DataFrame:
-    """n_shingles, two 64-bit digests of the set, and the signature (little-endian unsigned 32-bit integers)."""
-    schema = pa.schema([("doc_id", pa.int64()), ("n_shingles", pa.int64()), ("f1", pa.int64()), ("f2", pa.int64()), ("signature", pa.binary())])
+    """n_shingles, two 64-bit digests of the set, the minima that are posted (32 bits each) and one byte of every
+    minimum to count agreement."""
+    schema = pa.schema([("doc_id", pa.int64()), ("n_shingles", pa.int64()), ("f1", pa.int64()), ("f2", pa.int64()), ("posted", pa.binary()), ("signature", pa.binary())])
 
     def run(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
@@ -73,65 +78,140 @@ def signatures(docs: DataFrame) -> DataFrame:
                 h, heads = distinct_shingles(data, offs)
                 n = np.diff(heads)
                 some = np.flatnonzero(n)
-                sig = np.zeros((j - i, COORDINATES), np.uint32)
+                posted = np.zeros((j - i, POSTED), "<u4")
+                sig = np.zeros((j - i, COORDINATES), np.uint8)
                 f = np.zeros((2, j - i), np.uint64)
                 if len(some):
                     at = heads[:-1][some]
+                    product = np.empty_like(h)
                     for c in range(COORDINATES):
-                        sig[some, c] = np.minimum.reduceat(h * _FACTORS[c], at) >> np.uint64(32)
+                        np.multiply(h, _FACTORS[c], out=product)
+                        least = np.minimum.reduceat(product, at)
+                        sig[some, c] = mix(least) >> np.uint64(56)
+                        if c < POSTED:
+                            posted[some, c] = least >> np.uint64(32)
                     f[0, some] = np.add.reduceat(mix(h, 1), at)
                     f[1, some] = np.bitwise_xor.reduceat(mix(h, 2), at)
-                yield batch_of(schema, b.column(0).slice(i, j - i), n, f[0].view(np.int64), f[1].view(np.int64), binaries(sig.astype("<u4"), np.arange(j - i + 1) * 4 * COORDINATES))
+                rows = np.arange(j - i + 1)
+                yield batch_of(schema, b.column(0).slice(i, j - i), n, f[0].view(np.int64), f[1].view(np.int64), binaries(posted, rows * 4 * POSTED), binaries(sig, rows * COORDINATES))
 
     return docs.select(docs["doc_id"].cast("bigint").alias("doc_id"), text_of(docs).alias("text")).mapInArrow(run, SIGNATURES)
 
 
+def _matrix(column: pa.Array, kind, width: int) -> np.ndarray:
+    return np.frombuffer(b"".join(column.to_pylist()), kind).reshape(-1, width)
+
+
 def _postings(reps: DataFrame) -> DataFrame:
     """(rep, token): the prefix of each representative's postings, without those that nobody shares."""
     schema = pa.schema([("rep", pa.int64()), ("tokens", pa.list_(pa.int64()))])
-    salts = np.arange(COORDINATES, dtype=np.uint64) << np.uint64(32)
+    salts = np.arange(POSTED, dtype=np.uint64) << np.uint64(32)
 
     def run(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
-            s = np.frombuffer(b"".join(b.column(1).to_pylist()), "<u4").reshape(-1, COORDINATES).astype(np.uint64)
-            t = mix(s | salts).view(np.int64)
-            yield batch_of(schema, b.column(0), pa.ListArray.from_arrays(pa.array(np.arange(len(s) + 1, dtype=np.int32) * COORDINATES), pa.array(t.ravel())))
+            t = mix(_matrix(b.column(1), "<u4", POSTED).astype(np.uint64) | salts).view(np.int64)
+            yield batch_of(schema, b.column(0), pa.ListArray.from_arrays(pa.array(np.arange(len(t) + 1, dtype=np.int32) * POSTED), pa.array(t.ravel())))
 
-    posts = reps.select("rep", "signature").mapInArrow(run, "rep bigint, tokens array<bigint>").select("rep", F.explode("tokens").alias("token"))
+    posts = reps.select("rep", "posted").mapInArrow(run, "rep bigint, tokens array<bigint>").select("rep", F.explode("tokens").alias("token"))
     shared = posts.groupBy("token").agg(F.count("*").alias("n")).where("n > 1")
-    met = stored(posts.join(shared, "token"), "near-postings")
+    met = posts.join(shared, "token")
     w = Window.partitionBy("rep")
     ranked = met.withColumn("k", F.row_number().over(w.orderBy("n", "token"))).withColumn("all", F.count("*").over(w))
-    return ranked.where(F.col("k") + COORDINATES - F.col("all") <= PREFIX).select("rep", "token")
+    return ranked.where(F.col("k") + POSTED - F.col("all") <= PREFIX).select("rep", "token")
 
 
 def _agreeing(pairs: DataFrame, reps: DataFrame) -> DataFrame:
-    """The pairs (a, b) whose signatures agree in MATCHES coordinates at least."""
+    """The pairs (a, b) whose signatures agree in AGREE coordinates at least and whose sets match in size."""
     schema = pa.schema([("a", pa.int64()), ("b", pa.int64())])
 
     def run(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
-            s, t = (np.frombuffer(b"".join(b.column(k).to_pylist()), "<u4").reshape(-1, COORDINATES) for k in (2, 3))
-            keep = pa.array((s == t).sum(1) >= MATCHES)
+            s, t = (_matrix(b.column(k), np.uint8, COORDINATES) for k in (2, 3))
+            keep = pa.array((s == t).sum(1) >= AGREE)
             yield batch_of(schema, b.column(0).filter(keep), b.column(1).filter(keep))
 
-    sig = reps.select("rep", "signature")
-    both = pairs.join(sig.select(F.col("rep").alias("a"), F.col("signature").alias("s")), "a").join(sig.select(F.col("rep").alias("b"), F.col("signature").alias("t")), "b")
+    sig = reps.select("rep", "signature", "n_shingles")
+    x, y = (sig.select(F.col("rep").alias(r), F.col("signature").alias(s), F.col("n_shingles").alias(n)) for r, s, n in (("a", "s", "m"), ("b", "t", "n")))
+    both = pairs.join(x, "a").join(y, "b").where(f"100 * least(m, n) >= {THRESHOLD} * greatest(m, n)")
     return both.select("a", "b", "s", "t").mapInArrow(run, "a bigint, b bigint")
 
 
-def _sets(docs: DataFrame, ids: DataFrame) -> DataFrame:
+def _across(open_: DataFrame) -> DataFrame:
+    """(a, b): all pairs of one posting with different components that agree. open_ has (token, part, block, rep,
+    comp, n_shingles, signature); a group is (token, part), sorted, and pairs within one block of a mixed part are
+    left to the part of that block alone."""
+    schema = pa.schema([("a", pa.int64()), ("b", pa.int64())])
+    most = 1 << 19
+
+    def pairs_of(group: np.ndarray, mixed, block, rep, comp, n, sig) -> Iterator[pa.RecordBatch]:
+        size = np.bincount(group)
+        place = np.arange(len(group)) - np.repeat(np.cumsum(size) - size, size)
+        after = size[group] - 1 - place
+        edges = np.concatenate([[0], np.cumsum(after)])
+        at = 0
+        while at < len(group):
+            end = max(at + 1, int(np.searchsorted(edges, edges[at] + most, side="right")) - 1)
+            cnt = after[at:end]
+            a = np.repeat(np.arange(at, end), cnt)
+            b = a + 1 + np.arange(len(a)) - np.repeat(np.cumsum(cnt) - cnt, cnt)
+            fit = (comp[a] != comp[b]) & (100 * np.minimum(n[a], n[b]) >= THRESHOLD * np.maximum(n[a], n[b])) & ~(mixed[a] & (block[a] == block[b]))
+            a, b = a[fit], b[fit]
+            for k in range(0, len(a), 1 << 15):
+                x, y = a[k : k + (1 << 15)], b[k : k + (1 << 15)]
+                good = (sig[x] == sig[y]).sum(1) >= AGREE
+                if good.any():
+                    yield batch_of(schema, np.minimum(rep[x[good]], rep[y[good]]), np.maximum(rep[x[good]], rep[y[good]]))
+            at = end
+
+    def run(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        kept: list[pa.RecordBatch] = []
+
+        def work(t: pa.Table) -> Iterator[pa.RecordBatch]:
+            if t.num_rows > 1:
+                token, part, block, rep, comp, n = (t.column(k).to_numpy() for k in range(6))
+                new = np.concatenate([[False], (token[1:] != token[:-1]) | (part[1:] != part[:-1])])
+                yield from pairs_of(np.cumsum(new), part < 0, block, rep, comp, n, _matrix(t.column(6).combine_chunks() if isinstance(t.column(6), pa.ChunkedArray) else t.column(6), np.uint8, COORDINATES))
+
+        for b in batches:
+            kept.append(b)
+            token, part = b.column(0).to_numpy(), b.column(1).to_numpy()
+            whole = int(np.flatnonzero((token == token[-1]) & (part == part[-1]))[0])  # the last group may go on
+            first = kept[0]
+            if whole or (first.column(0)[0].as_py(), first.column(1)[0].as_py()) != (int(token[-1]), int(part[-1])):
+                yield from work(pa.Table.from_batches([*kept[:-1], b.slice(0, whole)]))
+                kept = [b.slice(whole)]
+        if kept:
+            yield from work(pa.Table.from_batches(kept))
+
+    return open_.select("token", "part", "block", "rep", "comp", "n_shingles", "signature").mapInArrow(run, "a bigint, b bigint")
+
+
+def _filter_words(ids: DataFrame) -> np.ndarray:
+    """A bit table of the ids, FILTER_BITS in all: only its words, a bounded number, reach the driver."""
+    cell = ids.select(F.pmod(F.col("rep"), F.lit(FILTER_BITS)).alias("c"))
+    t = cell.groupBy(F.expr("c div 64").alias("w")).agg(F.expr("bit_or(shiftleft(1L, cast(c % 64 as int)))").alias("m")).toArrow()
+    out = np.zeros(FILTER_BITS // 64, np.int64)
+    out[t.column("w").to_numpy()] = t.column("m").to_numpy()
+    return out.view(np.uint64)
+
+
+def _sets(docs: DataFrame, ids: DataFrame, repeated: bool) -> DataFrame:
     """(rep, shingles): the full sets of the given representatives."""
     schema = pa.schema([("rep", pa.int64()), ("shingles", pa.binary())])
+    table = docs.sparkSession.sparkContext.broadcast(_filter_words(ids))
 
     def run(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        bits = table.value
         for b in batches:
+            cell = b.column(0).to_numpy(zero_copy_only=False) % FILTER_BITS
+            b = b.filter(pa.array((bits[cell >> 6] >> (cell & 63).astype(np.uint64) & np.uint64(1)).astype(bool)))
             for i, j, data, offs in passes(b.column(1)):
                 h, heads = distinct_shingles(data, offs)
                 yield batch_of(schema, b.column(0).slice(i, j - i), binaries(h, heads * 8))
 
-    texts = docs.select(docs["doc_id"].cast("bigint").alias("rep"), text_of(docs).alias("text")).join(ids, "rep", "left_semi")
-    return texts.mapInArrow(run, "rep bigint, shingles binary")
+    texts = docs.select(docs["doc_id"].cast("bigint").alias("rep"), text_of(docs).alias("text")).where("rep is not null")
+    sets = texts.mapInArrow(run, "rep bigint, shingles binary").join(ids, "rep", "left_semi")
+    return stored(sets.dropDuplicates(["rep"]) if repeated else sets, "near-sets", "none")
 
 
 def _confirmed(pairs: DataFrame, sets: DataFrame) -> DataFrame:
@@ -155,54 +235,42 @@ def _confirmed(pairs: DataFrame, sets: DataFrame) -> DataFrame:
     return both.select("a", "b", "s", "t").mapInArrow(run, "a bigint, b bigint")
 
 
+def _links(pairs: DataFrame, docs: DataFrame, repeated: bool) -> DataFrame:
+    ids = pairs.select(F.explode(F.array("a", "b")).alias("rep")).distinct()
+    return stored(_confirmed(pairs, _sets(docs, ids, repeated)), "near-links")
+
+
 def report(docs: DataFrame) -> DataFrame:
     """doc_id, n_shingles, component_id, kept: one row for each row of docs."""
     sigs = stored(signatures(docs), "near-signatures")
     full = sigs.where((F.col("n_shingles") > 0) & F.col("doc_id").isNotNull())
     key = ["n_shingles", "f1", "f2"]
     repeated = bool(full.groupBy("doc_id").count().where("count > 1").take(1))
-    reps = stored(full.groupBy(*key).agg(F.min("doc_id").alias("rep"), F.first("signature").alias("signature")), "near-classes")
-    posts = stored(_postings(reps), "near-prefixes")
-    links = tested = None
-    nodes = posts.select("rep", F.col("rep").alias("comp")).distinct()
-    n_posts, turn, joined = posts.count(), 0, 1
-    while n_posts:
-        # Postings with several components, and the pairs that a full merge across components would make.
-        where = posts.join(nodes, "rep")
-        by = where.groupBy("token", "comp").agg(F.count("*").alias("n"))
-        sums = by.groupBy("token").agg(F.sum("n").alias("n"), F.sum(F.col("n") * F.col("n")).alias("nn"), F.count("*").alias("comps")).where("comps > 1")
-        open_ = stored(where.join(sums.select("token"), "token", "left_semi"), "near-open")
-        todo = sums.agg(F.sum((F.col("n") * F.col("n") - F.col("nn")) / 2)).first()[0] or 0
-        if not todo:
-            break
-        last = todo <= FULL_PAIRS * n_posts or not joined
-        if last:
-            u, v = open_.alias("u"), open_.alias("v")
-            pairs = u.join(v, F.expr("u.token = v.token and u.rep < v.rep and u.comp <> v.comp")).select(F.col("u.rep").alias("a"), F.col("v.rep").alias("b")).distinct()
-        else:
-            order = F.struct(F.xxhash64("rep", F.lit(turn)) if turn else F.lit(0).cast("long"), "rep")
-            centres = open_.groupBy("token").agg(F.min_by(F.struct("rep", "comp"), order).alias("c"))
-            pairs = open_.join(centres, "token").where("comp <> c.comp").select(F.least("rep", "c.rep").alias("a"), F.greatest("rep", "c.rep").alias("b")).distinct()
-        if tested is not None:
-            pairs = pairs.join(tested, ["a", "b"], "left_anti")
-        pairs = stored(_agreeing(pairs, reps), "near-pairs")
-        ids = pairs.select(F.explode(F.array("a", "b")).alias("rep")).distinct()
-        sets = _sets(docs, ids)
-        sets = stored(sets.dropDuplicates(["rep"]) if repeated else sets, "near-sets", "none")
-        found = stored(_confirmed(pairs, sets), "near-links")
-        tested = pairs if tested is None else tested.unionByName(pairs)
-        links = found if links is None else links.unionByName(found)
-        joined = found.count()
-        if joined:
-            comps = components(links)
-            nodes = stored(posts.select("rep").distinct().join(comps, F.col("rep") == F.col("node"), "left").select("rep", F.coalesce("component", "rep").alias("comp")), "near-nodes")
-        if last:
-            break
-        turn += 1
-    named = reps.select(*key, "rep").join(nodes, "rep", "left").select(*key, F.coalesce("comp", "rep").alias("comp"))
+    reps = stored(full.groupBy(*key).agg(F.min("doc_id").alias("rep"), F.first("posted").alias("posted"), F.first("signature").alias("signature")), "near-classes")
+    posts = stored(_postings(reps), "near-postings")
+
+    centres = posts.groupBy("token").agg(F.min("rep").alias("centre"))
+    star = posts.join(centres, "token").where("rep <> centre").select(F.col("centre").alias("a"), F.col("rep").alias("b")).distinct()
+    links = _links(stored(_agreeing(star, reps), "near-stars"), docs, repeated)
+    comps = components(links)
+
+    held = posts.join(comps, F.col("rep") == F.col("node"), "left").select("token", "rep", F.coalesce("component", "rep").alias("comp"))
+    lists = held.groupBy("token").agg(F.min("rep").alias("centre"), F.min("comp").alias("lo"), F.max("comp").alias("hi"), F.count("*").alias("n"))
+    lists = lists.where("lo < hi and n > 2").select("token", "centre", F.ceil((F.col("n") - 1) / BLOCK).cast("int").alias("blocks"))
+    rest = held.join(lists, "token").where("rep <> centre").join(reps.select("rep", "n_shingles", "signature"), "rep")
+    block = F.pmod(F.xxhash64("rep"), F.col("blocks")).cast("int")
+    # Parts 0, 1, ... hold one block each; a negative part holds two, whose own pairs are skipped there.
+    other = F.transform(F.sequence(F.lit(0), F.col("blocks") - 1), lambda k: F.when(k == F.col("block"), k).otherwise(-1 - (F.least(k, F.col("block")) * F.col("blocks") + F.greatest(k, F.col("block")))))
+    parts = rest.withColumn("block", block).withColumn("part", F.explode(other)).repartition("token", "part").sortWithinPartitions("token", "part")
+    again = stored(_across(parts).distinct(), "near-across")
+    if again.take(1):
+        links = links.unionByName(_links(again, docs, repeated))
+        comps = components(links)
+
+    named = reps.select(*key, "rep").join(comps, F.col("rep") == F.col("node"), "left").select(*key, F.coalesce("component", "rep").alias("comp"))
     alone = sigs.where((F.col("n_shingles") == 0) | F.col("doc_id").isNull()).select("doc_id", "n_shingles", F.col("doc_id").alias("component_id"))
-    rest = full.select("doc_id", *key).join(named, key).select("doc_id", "n_shingles", F.col("comp").alias("component_id"))
-    return rest.unionByName(alone).withColumn("kept", F.col("doc_id").eqNullSafe(F.col("component_id")))
+    own = full.select("doc_id", *key).join(named, key).select("doc_id", "n_shingles", F.col("comp").alias("component_id"))
+    return own.unionByName(alone).withColumn("kept", F.col("doc_id").eqNullSafe(F.col("component_id")))
 
 
 def drop_near(docs: DataFrame) -> DataFrame:
