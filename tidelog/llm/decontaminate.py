@@ -78,13 +78,18 @@ class Items:
         self.table[self.known & np.uint64((1 << 20) - 1)] = True
         self.prints = np.array([fingerprints(_bits(s).sum(0, dtype=np.int64)[None], np.array([len(s)]))[0] for s in self.shingles], np.uint64)
         near = np.array([0, *(sum(1 << b for b in c) for r in range(1, BLOCK_RADIUS + 1) for c in combinations(range(BITS // BLOCKS), r))])
-        self.index: list[dict[int, list[int]]] = [{} for _ in range(BLOCKS)]
+        #: By size of the item: a window only looks for items with as many words.
+        self.index: dict[int, list[dict[int, list[int]]]] = {}
         for i, p in enumerate(self.prints):
+            own = self.index.setdefault(int(self.words[i]), [{} for _ in range(BLOCKS)])
             for k in range(BLOCKS):
                 for v in (int(p) >> (8 * k) & 255) ^ near:
-                    self.index[k].setdefault(int(v), []).append(i)
+                    own[k].setdefault(int(v), []).append(i)
         #: For a text with fewer words than an item the window is the whole text.
         self.sizes = np.unique(self.words)
+        long = self.sizes[self.sizes >= K]
+        #: Shingles that the smallest item needs in common with a window.
+        self.least = THRESHOLD * (int(long[0]) - K + 1) if len(long) else np.inf
 
     def hits(self, h: np.ndarray) -> np.ndarray:
         """Which hashes some item has."""
@@ -95,18 +100,21 @@ class Items:
             out[at] = self.known[np.minimum(p, len(self.known) - 1)] == h[at]
         return out
 
-    def near(self, print_: int) -> list[tuple[int, int]]:
-        """Items within RADIUS of a fingerprint, with their distances."""
-        found = {i for k in range(BLOCKS) for i in self.index[k].get(print_ >> (8 * k) & 255, ())}
+    def near(self, print_: int, size: int) -> list[tuple[int, int]]:
+        """Items of a size within RADIUS of a fingerprint, with their distances."""
+        found = {i for k, block in enumerate(self.index[size]) for i in block.get(print_ >> (8 * k) & 255, ())}
         return [(i, d) for i in sorted(found) if (d := (int(self.prints[i]) ^ print_).bit_count()) <= RADIUS]
 
 
-def matches_in(h: np.ndarray, n_words: int, items: Items) -> list[tuple[int, float, int, int, int]]:
-    """(item, similarity, distance, first word, words) for one text's shingles, the best window of each item."""
-    sums = np.concatenate([[0], np.cumsum(items.hits(h))])
+def matches_in(h: np.ndarray, hit: np.ndarray, n_words: int, items: Items) -> list[tuple[int, float, int, int, int]]:
+    """(item, similarity, distance, first word, words) for one text's shingles, the best window of each item.
+
+    hit: which shingles some item has.
+    """
+    sums = np.concatenate([[0], np.cumsum(hit)])
     best: dict[int, tuple[float, int, int, int]] = {}
     bits = None
-    for size in items.sizes[items.sizes >= K].tolist():
+    for size in items.sizes[(items.sizes >= K) & (THRESHOLD * (items.sizes - K + 1) <= sums[-1])].tolist():
         width = min(size - K + 1, len(h))
         starts = np.flatnonzero(sums[width:] - sums[:-width] >= THRESHOLD * (size - K + 1))
         if not len(starts):
@@ -115,11 +123,10 @@ def matches_in(h: np.ndarray, n_words: int, items: Items) -> list[tuple[int, flo
             bits = np.concatenate([np.zeros((1, BITS), np.int32), np.cumsum(_bits(h), axis=0, dtype=np.int32)])
         prints = fingerprints(bits[starts + width] - bits[starts], np.full(len(starts), width))
         for s, p in zip(starts.tolist(), prints.tolist(), strict=True):
-            for i, d in items.near(p):
-                if items.words[i] == size:
-                    x = similarity(h[s : s + width], items.shingles[i])
-                    if x >= THRESHOLD and (i not in best or x > best[i][0]):
-                        best[i] = (x, d, s, min(size, n_words))
+            for i, d in items.near(p, size):
+                x = similarity(h[s : s + width], items.shingles[i])
+                if x >= THRESHOLD and (i not in best or x > best[i][0]):
+                    best[i] = (x, d, s, min(size, n_words))
     return [(i, *v) for i, v in best.items()]
 
 
@@ -160,10 +167,12 @@ def _matches(own: Items, texts: pa.Array) -> Iterator[tuple[int, tuple]]:
         w = Words(data, offs)
         h, heads = w.shingles(K)
         n = np.diff(w.first)
-        counts = np.concatenate([[0], np.cumsum(own.hits(h))])
-        some = np.flatnonzero(n) if short else np.flatnonzero(counts[heads[1:]] > counts[heads[:-1]])
-        for d in some.tolist():
-            got = matches_in(h[heads[d] : heads[d + 1]], int(n[d]), own) if n[d] >= K else []
+        hit = own.hits(h)
+        counts = np.concatenate([[0], np.cumsum(hit)])
+        enough = (n >= K) & (counts[heads[1:]] - counts[heads[:-1]] >= own.least)
+        for d in np.flatnonzero(enough | (short & (n > 0))).tolist():
+            lo, hi = heads[d], heads[d + 1]
+            got = matches_in(h[lo:hi], hit[lo:hi], int(n[d]), own) if enough[d] else []
             got += short_matches(w, d, own) if short else []
             for m in got:
                 yield i + d, m

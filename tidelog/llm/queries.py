@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import chat_format, decontaminate, exact_dedup, license_scan, near_dedup, packing, quality, token_store, url_filter
+from . import chat_format, decontaminate, exact_dedup, license_scan, near_dedup, packing, quality, repeats, token_store, url_filter
 from .common import table
 
 #: Path of the tokenizer that the queries use; a parameter of the operators.
@@ -70,6 +70,10 @@ def op8_exact_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return exact_dedup.report(table(spark, sf_dir, "documents"))
 
 
+def op9_repeats(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return repeats.report(table(spark, sf_dir, "documents"))
+
+
 def op10_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
     return decontaminate.find(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"))
 
@@ -87,6 +91,7 @@ def queries() -> dict[str, Query]:
         "op6_minhash_dedup": op6_minhash_dedup,
         "op7_token_store": op7_token_store,
         "op8_exact_dedup": op8_exact_dedup,
+        "op9_repeats": op9_repeats,
         "op10_decontamination": op10_decontamination,
     }
 
