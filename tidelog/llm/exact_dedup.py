@@ -65,7 +65,8 @@ def report(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", max_
     spark.catalog.dropTempView(bv)
     alone = marked.where("not maybe").select("doc_id", F.col("doc_id").alias("keep_id"), F.lit(1).cast("long").alias("group_size"), F.lit(True).alias("kept"), F.col("key").alias("text_sha256"))
     some = marked.where("maybe").select("doc_id", "key")
-    groups = some.groupBy("key").agg(F.max("doc_id").alias("keep_id"), F.count("*").alias("group_size"))
+    # Stored, so that the join reads both sides from plain exchanges and a hot group's side can be split.
+    groups = stored(some.groupBy("key").agg(F.max("doc_id").alias("keep_id"), F.count("*").alias("group_size")), "exact-groups")
     shared = some.join(groups, "key").select("doc_id", "keep_id", "group_size", F.col("doc_id").eqNullSafe(F.col("keep_id")).alias("kept"), F.col("key").alias("text_sha256"))
     return alone.unionByName(shared)
 
