@@ -44,8 +44,10 @@ from .common import _MULT, batch_of, mix, passes, stored, text_of
 MIN, Q = 50, 16
 MAX_CELL_BITS = 28
 SLICES = 32
-BUCKET_BYTES = 12 << 20
-FLUSH_BYTES = 24 << 20
+BUCKET_BYTES = 4 << 20
+FLUSH_BYTES = 6 << 20
+#: Text that one numpy pass takes.
+PASS = 1 << 20
 
 
 def _sliding(x: np.ndarray, width: int, least) -> np.ndarray:
@@ -114,7 +116,7 @@ def shared_cells(rows: DataFrame, bits: int) -> np.ndarray:
             return batch_of(schema, [k for k, _, _ in own], [c.tobytes() for _, c, _ in own], [np.packbits(m).tobytes() for _, _, m in own])
 
         for b in batches:
-            for i, _, data, offs in passes(b.column(2).filter(b.column(0).is_valid())):
+            for i, _, data, offs in passes(b.column(2).filter(b.column(0).is_valid()), PASS):
                 doc, anchor, _, _ = anchors(data, offs)
                 one = np.unique((doc.astype(np.uint64) << np.uint64(bits)) | (anchor >> shift))
                 held.append((one & np.uint64((1 << bits) - 1)).astype(np.int64))
@@ -177,7 +179,7 @@ def contexts(rows: DataFrame, bits: int, table: np.ndarray, buckets: int) -> Dat
         for b in batches:
             b = b.filter(b.column(0).is_valid())
             ids, digests = b.column(0).to_numpy(zero_copy_only=False), b.column(1).to_numpy(zero_copy_only=False)
-            for i, _, data, offs in passes(b.column(2)):
+            for i, _, data, offs in passes(b.column(2), PASS):
                 doc, anchor, at, n = anchors(data, offs)
                 cell = (anchor >> shift).astype(np.int64)
                 keep = (shared.value[cell >> 3] >> (cell & 7).astype(np.uint8) & 1).astype(bool)
