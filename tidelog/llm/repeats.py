@@ -39,7 +39,7 @@ import zstandard
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import _MULT, batch_of, mix, passes, stored, text_of
+from .common import _MULT, _powers, batch_of, mix, passes, release, stored, text_of
 
 MIN, Q = 50, 16
 MAX_CELL_BITS = 28
@@ -143,15 +143,39 @@ def shared_cells(rows: DataFrame, bits: int) -> np.ndarray:
     return table.ravel()
 
 
-#: One row holds many contexts: doc_id, digest, first byte, length and anchor of each, and their bytes, compressed.
-BLOBS = "bucket int, doc binary, digest binary, start binary, length binary, anchor binary, text binary"
+#: One row holds many contexts of one bucket, compressed: how many there are and of how many texts; the texts' doc_id,
+#: digest and number of contexts; first byte and length of each context; their bytes. An anchor follows from the bytes.
+BLOBS = "bucket int, data binary"
+
+
+def _sealed(doc: np.ndarray, digest: np.ndarray, start: np.ndarray, length: np.ndarray, text: np.ndarray) -> bytes:
+    """One blob; contexts of a text stand together."""
+    new = np.ones(len(doc), bool)
+    new[1:] = (doc[1:] != doc[:-1]) | (digest[1:] != digest[:-1])
+    at = np.flatnonzero(new)
+    parts = (np.array([len(doc), len(at)], "<u4"), doc[at], digest[at], np.diff(np.append(at, len(doc))).astype("<u4"), start.astype("<u4"), length.astype(np.uint8), text)
+    return zstandard.ZstdCompressor(level=1).compress(b"".join(p.tobytes() for p in parts))
+
+
+def _opened(data: bytes) -> tuple[np.ndarray, ...]:
+    """doc, digest, start, length and text of a blob's contexts."""
+    raw = zstandard.ZstdDecompressor().decompress(data)
+    n, m = np.frombuffer(raw, "<u4", 2).tolist()
+    at = 8
+    doc, digest = (np.frombuffer(raw, np.int64, m, at + 8 * m * k) for k in range(2))
+    at += 16 * m
+    count = np.frombuffer(raw, "<u4", m, at)
+    at += 4 * m
+    start = np.frombuffer(raw, "<u4", n, at).astype(np.int64)
+    length = np.frombuffer(raw, np.uint8, n, at + 4 * n).astype(np.int64)
+    return np.repeat(doc, count), np.repeat(digest, count), start, length, np.frombuffer(raw, np.uint8, offset=at + 5 * n)
 
 
 def contexts(rows: DataFrame, bits: int, table: np.ndarray, buckets: int) -> DataFrame:
     """The contexts of shared anchors, in blobs by bucket."""
     shift = np.uint64(64 - bits)
     shared = rows.sparkSession.sparkContext.broadcast(table)
-    schema = pa.schema([("bucket", pa.int32()), *((c, pa.binary()) for c in ("doc", "digest", "start", "length", "anchor", "text"))])
+    schema = pa.schema([("bucket", pa.int32()), ("data", pa.binary())])
 
     def run(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         held: list[tuple] = []
@@ -163,18 +187,12 @@ def contexts(rows: DataFrame, bits: int, table: np.ndarray, buckets: int) -> Dat
             bucket = (mix(anchor, 0xB0C) % np.uint64(buckets)).astype(np.int64)
             order = np.argsort(bucket, kind="stable")
             at = np.cumsum(length) - length
-            take = _spans(at[order], length[order])
-            texts = texts[take]
+            texts = texts[_spans(at[order], length[order])]
             own = np.flatnonzero(np.bincount(bucket, minlength=buckets))
             cut = np.searchsorted(bucket[order], np.append(own, buckets))
-            bytes_ = np.concatenate([[0], np.cumsum(length[order])])
-            zip_ = zstandard.ZstdCompressor(level=1)
-            cols: list[list] = [[] for _ in range(7)]
-            for k, a, b in zip(own.tolist(), cut[:-1], cut[1:], strict=True):
-                o = order[a:b]
-                for c, x in zip(cols, (k, doc[o].tobytes(), digest[o].tobytes(), start[o].astype(np.int64).tobytes(), length[o].astype(np.uint8).tobytes(), anchor[o].tobytes(), zip_.compress(texts[bytes_[a] : bytes_[b]].tobytes())), strict=True):
-                    c.append(x)
-            return batch_of(schema, *cols)
+            ends = np.concatenate([[0], np.cumsum(length[order])])
+            sealed = [_sealed(doc[o], digest[o], start[o], length[o], texts[ends[a] : ends[b]]) for a, b in zip(cut[:-1], cut[1:], strict=True) for o in (order[a:b],)]
+            return batch_of(schema, own.astype(np.int32), sealed)
 
         for b in batches:
             b = b.filter(b.column(0).is_valid())
@@ -261,12 +279,29 @@ def intervals(lcp: list[int], least: int) -> Iterator[tuple[int, int, int]]:
             stack.append((now, first))
 
 
+def _met_twice(data: np.ndarray, start: np.ndarray, size: int) -> np.ndarray:
+    """Whether another of the positions has the same `size` bytes (by hash, so now and then one too many)."""
+    up, down = _powers(len(data) + 1)
+    sums = np.zeros(len(data) + 1, np.uint64)
+    np.cumsum((data.astype(np.uint64) + np.uint64(1)) * up[: len(data)], out=sums[1:])
+    h = (sums[start + size] - sums[start]) * down[start]
+    order = np.argsort(h)
+    same = h[order][1:] == h[order][:-1]
+    out = np.zeros(len(start), bool)
+    out[order[1:]] = same
+    out[order[:-1]] |= same
+    return out
+
+
 def maximal_repeats(data: np.ndarray, at: np.ndarray, length: np.ndarray, least: int = MIN) -> Iterator[tuple[int, list[tuple[int, int]]]]:
     """(length, [(context, offset)...]): the maximal repeats among the contexts data[at:at+length], each with all its
     occurrences. A byte before or after a context counts as different from all others."""
     n = np.maximum(length - least + 1, 0)
     ctx = np.repeat(np.arange(len(at)), n)
     start = _spans(at, n)
+    # A suffix whose first `least` bytes nobody else has is in no interval; only the others are sorted.
+    keep = _met_twice(data, start, least)
+    ctx, start = ctx[keep], start[keep]
     if len(start) < 2:
         return
     order, lcp = suffix_array(data, start, (at + length)[ctx])
@@ -281,15 +316,12 @@ def maximal_repeats(data: np.ndarray, at: np.ndarray, length: np.ndarray, least:
             yield size, list(zip(ctx[a : b + 1].tolist(), offset[a : b + 1].tolist(), strict=True))
 
 
-def _bucket_groups(t: pa.Table):
-    """The contexts of one bucket: all columns, the class of each context, and the classes' bytes."""
-    col = lambda c, kind: np.concatenate([np.frombuffer(x, kind) for x in t.column(c).to_pylist()])
-    doc, digest, start = (col(c, np.int64) for c in ("doc", "digest", "start"))
-    length, anchor = col("length", np.uint8).astype(np.int64), col("anchor", np.uint64)
-    unzip = zstandard.ZstdDecompressor()
-    text = np.concatenate([np.frombuffer(unzip.decompress(x), np.uint8) for x in t.column("text").to_pylist()])
+def _bucket_contexts(t: pa.Table) -> tuple[np.ndarray, ...]:
+    """doc, digest, start, length, anchor and position in the text of one bucket's contexts, and the text."""
+    doc, digest, start, length, text = (np.concatenate(x) for x in zip(*map(_opened, t.column("data").to_pylist()), strict=True))
     at = np.cumsum(length) - length
-    return doc, digest, start, length, anchor, text, at
+    anchor = _sliding(_grams(text), MIN - Q + 1, np.minimum)[at]
+    return doc, digest, start, length, anchor, at, text
 
 
 def _same_contexts(anchor: np.ndarray, length: np.ndarray, text: np.ndarray, at: np.ndarray) -> np.ndarray:
@@ -319,7 +351,7 @@ def bucket_removals(t: pa.Table) -> pa.Table:
     """(doc_id, digest, ranges): byte ranges of each text that a text with a smaller id shares, from one bucket's
     repeat groups."""
     schema = pa.schema([("doc_id", pa.int64()), ("digest", pa.int64()), ("ranges", pa.binary())])
-    doc, digest, start, length, anchor, text, at = _bucket_groups(t)
+    doc, digest, start, length, anchor, at, text = _bucket_contexts(t)
     cls = _same_contexts(anchor, length, text, at)
     n = int(cls.max()) + 1
     smallest = np.full(n, np.iinfo(np.int64).max)
@@ -371,7 +403,7 @@ def bucket_removals(t: pa.Table) -> pa.Table:
     new[1:] = (d[1:] != d[:-1]) | (g[1:] != g[:-1])
     heads = np.flatnonzero(new)
     lo, hi, cut = _united(lo, hi, heads)
-    pairs = np.stack([lo, hi], 1).astype(np.int64)
+    pairs = np.stack([lo, hi], 1).astype("<u4")
     bounds = cut.tolist()
     blobs = [pairs[x:y].tobytes() for x, y in zip(bounds[:-1], bounds[1:], strict=True)]
     return pa.Table.from_arrays([pa.array(d[heads]), pa.array(g[heads]), pa.array(blobs, pa.binary())], schema=schema)
@@ -404,7 +436,7 @@ def _united(lo: np.ndarray, hi: np.ndarray, heads: np.ndarray) -> tuple[np.ndarr
 
 
 def removals(docs: DataFrame) -> DataFrame:
-    """doc_id, digest, ranges (binary int64 pairs): what each text shares with a text of a smaller id."""
+    """doc_id, digest, ranges (pairs of unsigned 32-bit integers): what each text shares with a text of a smaller id."""
     rows = _key_column(docs)
     total = docs.agg(F.sum(F.octet_length(text_of(docs)))).first()[0] or 0
     bits = min(MAX_CELL_BITS, max(20, math.ceil(math.log2(total / 2 + 1))))
@@ -417,7 +449,9 @@ def removals(docs: DataFrame) -> DataFrame:
 def report(docs: DataFrame) -> DataFrame:
     """doc_id, n_bytes, n_removed, n_spans, kept_sha256: one row for each row of docs."""
     schema = pa.schema([("doc_id", pa.int64()), ("n_bytes", pa.int64()), ("n_removed", pa.int64()), ("n_spans", pa.int64()), ("kept_sha256", pa.string())])
-    gone = removals(docs).groupBy("doc_id", "digest").agg(F.collect_list("ranges").alias("ranges"))
+    found = removals(docs)
+    release(docs.sparkSession)  # of what it has dealt only the ranges are still needed
+    gone = found.groupBy("doc_id", "digest").agg(F.collect_list("ranges").alias("ranges"))
 
     def run(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
@@ -427,7 +461,7 @@ def report(docs: DataFrame) -> DataFrame:
                 removed = spans = 0
                 digest, at = hashlib.sha256(), 0
                 if ranges:
-                    r = np.frombuffer(b"".join(ranges), np.int64).reshape(-1, 2)
+                    r = np.frombuffer(b"".join(ranges), "<u4").reshape(-1, 2).astype(np.int64)
                     r = r[np.argsort(r[:, 0], kind="stable")]
                     lo, hi, _ = _united(r[:, 0], r[:, 1], np.zeros(1, np.int64))
                     removed, spans = int((hi - lo).sum()), len(lo)
