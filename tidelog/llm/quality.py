@@ -109,10 +109,11 @@ def counts(docs: DataFrame, good: np.ndarray, orders: tuple[int, ...]) -> tuple[
     return raw, target
 
 
-def log_ratios(raw: np.ndarray, target: np.ndarray, share: float, z: float = Z, slack: float = SLACK) -> np.ndarray:
-    """share: the part of the documents that are target documents."""
-    if not share:
-        return np.zeros_like(raw)
+def log_ratios(raw: np.ndarray, target: np.ndarray, z: float = Z, slack: float = SLACK) -> np.ndarray:
+    """Log ratio of the rates by bucket, where it stands out of chance."""
+    if not target.sum():
+        return np.zeros(len(raw))
+    share = target.sum() / raw.sum()
     expected = share * raw
     r = np.log((target / share + 1) / (raw + 1))
     r[np.abs(target - expected) <= z * np.sqrt(expected + 1)] = 0
@@ -120,20 +121,10 @@ def log_ratios(raw: np.ndarray, target: np.ndarray, share: float, z: float = Z,
 
 
 def fit(docs: DataFrame, labels: DataFrame, orders: tuple[int, ...] = ORDERS, most_labels: int = MOST_LABELS) -> Model:
-    spark = docs.sparkSession
     wanted = labels.where((F.col("quality") == 1) & (F.col("toxic") == 0)).select(F.col("doc_id").cast("bigint").alias("doc_id")).where("doc_id is not null").distinct()
     good = wanted.orderBy(F.xxhash64("doc_id"), "doc_id").limit(most_labels)
-    ids = good.toArrow().column(0).to_numpy()
-    raw, target = counts(docs, ids, orders)
-    known = spark.sparkContext.broadcast(np.sort(ids))
-
-    def found(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for b in batches:
-            n = int(np.isin(b.column(0).to_numpy(zero_copy_only=False), known.value).sum())
-            yield pa.RecordBatch.from_pydict({"n": [b.num_rows], "good": [n]})
-
-    n = docs.select(docs["doc_id"].cast("bigint").alias("doc_id")).where("doc_id is not null").mapInArrow(found, "n bigint, good bigint").agg(F.sum("n"), F.sum("good")).first()
-    return Model(log_ratios(raw, target, (n[1] or 0) / n[0] if n[0] else 0.0), orders)
+    raw, target = counts(docs, good.toArrow().column(0).to_numpy(), orders)
+    return Model(log_ratios(raw, target), orders)
 
 
 def scores(docs: DataFrame, model: Model) -> DataFrame:
