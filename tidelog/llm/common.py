@@ -2,7 +2,6 @@
 
 from __future__ import annotations
 
-import gc
 import tempfile
 import uuid
 from collections.abc import Callable, Iterable, Iterator
@@ -36,18 +35,31 @@ def scratch_path(spark: SparkSession, name: str) -> str:
     return f"{scratch_root(spark)}/{name}-{uuid.uuid4().hex}"
 
 
+#: Spark removes the shuffle files of a finished execution where this is set.
+CLEANUP = "spark.sql.classic.shuffleDependency.fileCleanup.enabled"
+#: Texts reach Python in batches of about this size, not of ten thousand rows whatever their length.
+BATCH = ("spark.sql.execution.arrow.maxBytesPerBatch", "4m")
+
+
 def stored(df: DataFrame, name: str, codec: str = "zstd") -> DataFrame:
-    """df, written to the shared folder and read again: the lineage ends there, and a lost executor costs no rerun."""
+    """df, written to the shared folder and read again: the lineage ends there, a lost executor costs no rerun, and
+    what was shuffled for it goes at once."""
     spark = df.sparkSession
     path = scratch_path(spark, name)
-    df.write.option("compression", codec).parquet(path)
+    before = spark.conf.get(CLEANUP, "false")
+    spark.conf.set(CLEANUP, "true")
+    try:
+        df.write.option("compression", codec).parquet(path)
+    finally:
+        spark.conf.set(CLEANUP, before)
     return spark.read.schema(df.schema).parquet(path)
 
 
-def release(spark: SparkSession) -> None:
-    """Lets Spark remove the shuffle files of finished steps: it does so once their plans are collected as garbage."""
-    gc.collect()
-    spark.sparkContext._jvm.System.gc()
+def small_batches(spark: SparkSession) -> None:
+    """Bounds what an executor holds of a text column on its way to Python, unless the session has a smaller bound."""
+    now = spark.conf.get(BATCH[0], None)
+    if now is None or int(str(now).rstrip("b") if str(now).rstrip("b").isdigit() else 1 << 40) > 4 << 20:
+        spark.conf.set(*BATCH)
 
 
 def ascii_lower(col: Column) -> Column:
@@ -56,6 +68,8 @@ def ascii_lower(col: Column) -> Column:
 
 
 def text_of(df: DataFrame, col: str = "text") -> Column:
+    """A text column without nulls."""
+    small_batches(df.sparkSession)
     return F.coalesce(df[col].cast("string"), F.lit(""))
 
 

@@ -31,7 +31,7 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
 
-from .common import Words, batch_of, passes, string_buffers, text_of
+from .common import Words, batch_of, passes, small_batches, string_buffers, text_of
 
 K = 5
 THRESHOLD = 0.75
@@ -201,6 +201,7 @@ def find(docs: DataFrame, benchmark: DataFrame) -> DataFrame:
 
 def clean(docs: DataFrame, benchmark: DataFrame) -> DataFrame:
     """The rows of docs whose text holds no item, with the columns of docs; rows are dropped in passing, without a join."""
+    small_batches(docs.sparkSession)
     at = docs.columns.index("text")
     out = docs
     for block in item_blocks(benchmark):

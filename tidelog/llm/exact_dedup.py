@@ -74,4 +74,4 @@ def report(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", max_
 def drop_copies(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """The rows of docs that stay, with the columns of docs. Only ids of dropped rows meet the documents."""
     gone = report(docs, id_col, text_col).where("not kept").select(F.col("doc_id").alias("_gone")).distinct()
-    return docs.join(gone, docs[id_col].eqNullSafe(F.col("_gone")), "left_anti").select(*[docs[c] for c in docs.columns])
+    return docs.join(gone, docs[id_col].eqNullSafe(gone["_gone"]), "left_anti").select(*[docs[c] for c in docs.columns])

@@ -308,4 +308,4 @@ def report(docs: DataFrame) -> DataFrame:
 def drop_near(docs: DataFrame) -> DataFrame:
     """The rows of docs that stay, one text of each component, with the columns of docs."""
     gone = report(docs).where("not kept").select(F.col("doc_id").alias("_gone")).distinct()
-    return docs.join(gone, docs["doc_id"] == F.col("_gone"), "left_anti").select(*[docs[c] for c in docs.columns])
+    return docs.join(gone, docs["doc_id"] == gone["_gone"], "left_anti").select(*[docs[c] for c in docs.columns])

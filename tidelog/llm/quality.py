@@ -32,7 +32,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import Words, batch_of, mix, passes, stored, text_of
+from .common import Words, batch_of, mix, passes, small_batches, stored, text_of
 
 BUCKET_BITS = 18
 #: Word n-grams used. Single words tell more here than words and pairs together (held-out: README).
@@ -183,6 +183,7 @@ def report(docs: DataFrame, labels: DataFrame, floor: float = FLOOR) -> DataFram
 
 def keep_good(docs: DataFrame, labels: DataFrame, floor: float = FLOOR) -> DataFrame:
     """The rows of docs that are sampled, with the columns of docs; scored again in passing, so no text is shuffled."""
+    small_batches(docs.sparkSession)
     _, model = classify(docs, labels, floor)
     shared = docs.sparkSession.sparkContext.broadcast(model)
     at, text = docs.columns.index("doc_id"), docs.columns.index("text")

@@ -39,13 +39,13 @@ import zstandard
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import _MULT, _powers, batch_of, mix, passes, release, stored, text_of
+from .common import _MULT, _powers, batch_of, mix, passes, stored, text_of
 
 MIN, Q = 50, 16
 MAX_CELL_BITS = 28
 SLICES = 32
 BUCKET_BYTES = 4 << 20
-FLUSH_BYTES = 6 << 20
+FLUSH_BYTES = 48 << 20
 #: Text that one numpy pass takes.
 PASS = 1 << 20
 
@@ -96,7 +96,7 @@ def anchors(data: np.ndarray, offs: np.ndarray) -> tuple[np.ndarray, np.ndarray,
 def _key_column(docs: DataFrame) -> DataFrame:
     """doc_id, a digest of the text that tells repeated ids apart, and the text."""
     d = docs.select(docs["doc_id"].cast("bigint").alias("doc_id"), text_of(docs).alias("text"))
-    return d.select("doc_id", F.xxhash64("text").alias("digest"), "text")
+    return d.select("doc_id", F.hash("text").alias("digest"), "text")
 
 
 def shared_cells(rows: DataFrame, bits: int) -> np.ndarray:
@@ -143,8 +143,8 @@ def shared_cells(rows: DataFrame, bits: int) -> np.ndarray:
     return table.ravel()
 
 
-#: One row holds many contexts of one bucket, compressed: how many there are and of how many texts; the texts' doc_id,
-#: digest and number of contexts; first byte and length of each context; their bytes. An anchor follows from the bytes.
+#: One row holds many contexts of one bucket, compressed: how many there are and of how many texts; the texts' doc_id
+#: (differences), digest and number of contexts; first byte and length of each context; their bytes. An anchor follows from the bytes.
 BLOBS = "bucket int, data binary"
 
 
@@ -153,8 +153,8 @@ def _sealed(doc: np.ndarray, digest: np.ndarray, start: np.ndarray, length: np.n
     new = np.ones(len(doc), bool)
     new[1:] = (doc[1:] != doc[:-1]) | (digest[1:] != digest[:-1])
     at = np.flatnonzero(new)
-    parts = (np.array([len(doc), len(at)], "<u4"), doc[at], digest[at], np.diff(np.append(at, len(doc))).astype("<u4"), start.astype("<u4"), length.astype(np.uint8), text)
-    return zstandard.ZstdCompressor(level=1).compress(b"".join(p.tobytes() for p in parts))
+    parts = (np.array([len(doc), len(at)], "<u4"), np.diff(doc[at], prepend=0), digest[at].astype(np.int32), np.diff(np.append(at, len(doc))).astype("<u4"), start.astype("<u4"), length.astype(np.uint8), text)
+    return zstandard.ZstdCompressor(level=3).compress(b"".join(p.tobytes() for p in parts))
 
 
 def _opened(data: bytes) -> tuple[np.ndarray, ...]:
@@ -162,8 +162,9 @@ def _opened(data: bytes) -> tuple[np.ndarray, ...]:
     raw = zstandard.ZstdDecompressor().decompress(data)
     n, m = np.frombuffer(raw, "<u4", 2).tolist()
     at = 8
-    doc, digest = (np.frombuffer(raw, np.int64, m, at + 8 * m * k) for k in range(2))
-    at += 16 * m
+    doc = np.cumsum(np.frombuffer(raw, np.int64, m, at))
+    digest = np.frombuffer(raw, np.int32, m, at + 8 * m).astype(np.int64)
+    at += 12 * m
     count = np.frombuffer(raw, "<u4", m, at)
     at += 4 * m
     start = np.frombuffer(raw, "<u4", n, at).astype(np.int64)
@@ -187,11 +188,9 @@ def contexts(rows: DataFrame, bits: int, table: np.ndarray, buckets: int) -> Dat
             bucket = (mix(anchor, 0xB0C) % np.uint64(buckets)).astype(np.int64)
             order = np.argsort(bucket, kind="stable")
             at = np.cumsum(length) - length
-            texts = texts[_spans(at[order], length[order])]
             own = np.flatnonzero(np.bincount(bucket, minlength=buckets))
             cut = np.searchsorted(bucket[order], np.append(own, buckets))
-            ends = np.concatenate([[0], np.cumsum(length[order])])
-            sealed = [_sealed(doc[o], digest[o], start[o], length[o], texts[ends[a] : ends[b]]) for a, b in zip(cut[:-1], cut[1:], strict=True) for o in (order[a:b],)]
+            sealed = [_sealed(doc[o], digest[o], start[o], length[o], texts[_spans(at[o], length[o])]) for a, b in zip(cut[:-1], cut[1:], strict=True) for o in (order[a:b],)]
             return batch_of(schema, own.astype(np.int32), sealed)
 
         for b in batches:
@@ -344,13 +343,13 @@ def _same_contexts(anchor: np.ndarray, length: np.ndarray, text: np.ndarray, at:
     return out
 
 
-RANGES = "doc_id bigint, digest bigint, ranges binary"
+RANGES = "doc_id bigint, digest int, ranges binary"
 
 
 def bucket_removals(t: pa.Table) -> pa.Table:
     """(doc_id, digest, ranges): byte ranges of each text that a text with a smaller id shares, from one bucket's
     repeat groups."""
-    schema = pa.schema([("doc_id", pa.int64()), ("digest", pa.int64()), ("ranges", pa.binary())])
+    schema = pa.schema([("doc_id", pa.int64()), ("digest", pa.int32()), ("ranges", pa.binary())])
     doc, digest, start, length, anchor, at, text = _bucket_contexts(t)
     cls = _same_contexts(anchor, length, text, at)
     n = int(cls.max()) + 1
@@ -406,7 +405,7 @@ def bucket_removals(t: pa.Table) -> pa.Table:
     pairs = np.stack([lo, hi], 1).astype("<u4")
     bounds = cut.tolist()
     blobs = [pairs[x:y].tobytes() for x, y in zip(bounds[:-1], bounds[1:], strict=True)]
-    return pa.Table.from_arrays([pa.array(d[heads]), pa.array(g[heads]), pa.array(blobs, pa.binary())], schema=schema)
+    return pa.Table.from_arrays([pa.array(d[heads]), pa.array(g[heads].astype(np.int32)), pa.array(blobs, pa.binary())], schema=schema)
 
 
 def _parts(anchor: np.ndarray, length: np.ndarray, most: int = 4 << 20) -> Iterator[slice]:
@@ -449,9 +448,7 @@ def removals(docs: DataFrame) -> DataFrame:
 def report(docs: DataFrame) -> DataFrame:
     """doc_id, n_bytes, n_removed, n_spans, kept_sha256: one row for each row of docs."""
     schema = pa.schema([("doc_id", pa.int64()), ("n_bytes", pa.int64()), ("n_removed", pa.int64()), ("n_spans", pa.int64()), ("kept_sha256", pa.string())])
-    found = removals(docs)
-    release(docs.sparkSession)  # of what it has dealt only the ranges are still needed
-    gone = found.groupBy("doc_id", "digest").agg(F.collect_list("ranges").alias("ranges"))
+    gone = removals(docs).groupBy("doc_id", "digest").agg(F.collect_list("ranges").alias("ranges"))
 
     def run(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
