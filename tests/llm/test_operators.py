@@ -7,6 +7,7 @@ import random
 import zlib
 
 import numpy as np
+import pyarrow as pa
 import pytest
 from hypothesis import given, settings
 from hypothesis import strategies as st
@@ -285,7 +286,7 @@ PIECES = ["a", "the", " ", "  ", "\n", ",", ".", "_", "'s", "$", "é", "3", ".5"
 @settings(max_examples=500, deadline=None)
 @given(st.lists(st.lists(st.sampled_from(PIECES), max_size=10).map("".join), min_size=1, max_size=4))
 def test_pieces_encode_like_the_whole(texts):
-    ids, n = token_store.encoder(queries.vocabulary()).encode(texts)
+    ids, n = token_store.encoder(queries.vocabulary()).encode(pa.array(texts, pa.string()))
     whole = [chat_format.tokenizer(queries.vocabulary()).encode(x, add_special_tokens=False).ids for x in texts]
     assert ids.tolist() == [i for w in whole for i in w] and n.tolist() == list(map(len, whole))
 

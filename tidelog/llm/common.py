@@ -15,7 +15,7 @@ UPPER = "ABCDEFGHIJKLMNOPQRSTUVWXYZ"
 LOWER = UPPER.lower()
 
 #: Bytes of text that one numpy pass takes at once; a longer text is taken alone.
-PASS_BYTES = 1 << 20
+PASS_BYTES = 1 << 18
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -203,6 +203,18 @@ def binaries(data: bytes | np.ndarray, offs: np.ndarray) -> pa.Array:
     return pa.Array.from_buffers(pa.binary(), len(offs) - 1, [None, pa.py_buffer(np.ascontiguousarray(offs, np.int32)), pa.py_buffer(data)])
 
 
+def spans(start: np.ndarray, length: np.ndarray) -> np.ndarray:
+    """start[0] .. start[0] + length[0] - 1, start[1] .. and so on, in a row."""
+    if not length.all():
+        start, length = start[length > 0], length[length > 0]
+    step = np.ones(int(length.sum()), np.int64)
+    if len(step):
+        heads = np.cumsum(length) - length
+        step[heads] = start
+        step[heads[1:]] -= start[:-1] + length[:-1] - 1
+    return np.cumsum(step)
+
+
 def components(edges: DataFrame, name: str = "components") -> DataFrame:
     """(node, component) for the nodes of edges (a, b); a component's id is its smallest node.
 

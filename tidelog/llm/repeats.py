@@ -13,7 +13,8 @@ corpus meet under their anchor. The bytes of a run are its context.
    it counts as different, and the neighbouring anchor's context goes on from there.
 
 So the groups together cover every byte of every string that occurs in two texts, and by no more. `removals` takes
-from them what a text shares with a text of a smaller id.
+from them what a text shares with a text of a smaller id; texts and their ranges then meet in parts of about
+BUCKET_BYTES.
 
 The bit table has at most 2**MAX_CELL_BITS bits; when a corpus fills it, more contexts are dealt and the results stay
 exact. A bucket holds the contexts of about BUCKET_BYTES of text; under one anchor, equal contexts of a task are sent
@@ -39,7 +40,7 @@ import zstandard
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import _MULT, _powers, batch_of, mix, passes, stored, text_of
+from .common import _MULT, _powers, batch_of, mix, passes, spans, stored, text_of
 
 MIN, Q = 50, 16
 MAX_CELL_BITS = 28
@@ -47,7 +48,7 @@ SLICES = 32
 BUCKET_BYTES = 4 << 20
 FLUSH_BYTES = 48 << 20
 #: Text that one numpy pass takes.
-PASS = 1 << 20
+PASS = 1 << 16
 
 
 def _sliding(x: np.ndarray, width: int, least) -> np.ndarray:
@@ -190,7 +191,7 @@ def contexts(rows: DataFrame, bits: int, table: np.ndarray, buckets: int) -> Dat
             at = np.cumsum(length) - length
             own = np.flatnonzero(np.bincount(bucket, minlength=buckets))
             cut = np.searchsorted(bucket[order], np.append(own, buckets))
-            sealed = [_sealed(doc[o], digest[o], start[o], length[o], texts[_spans(at[o], length[o])]) for a, b in zip(cut[:-1], cut[1:], strict=True) for o in (order[a:b],)]
+            sealed = [_sealed(doc[o], digest[o], start[o], length[o], texts[spans(at[o], length[o])]) for a, b in zip(cut[:-1], cut[1:], strict=True) for o in (order[a:b],)]
             return batch_of(schema, own.astype(np.int32), sealed)
 
         for b in batches:
@@ -203,7 +204,7 @@ def contexts(rows: DataFrame, bits: int, table: np.ndarray, buckets: int) -> Dat
                 if not keep.any():
                     continue
                 doc, anchor, at, n = doc[keep], anchor[keep], at[keep], n[keep] + MIN - 1
-                held.append((ids[i + doc], digests[i + doc], at - offs[doc], n, anchor, data[_spans(at, n)]))
+                held.append((ids[i + doc], digests[i + doc], at - offs[doc], n, anchor, data[spans(at, n)]))
                 size += int(n.sum())
                 if size > FLUSH_BYTES:
                     yield flush()
@@ -214,17 +215,6 @@ def contexts(rows: DataFrame, bits: int, table: np.ndarray, buckets: int) -> Dat
     return rows.mapInArrow(run, BLOBS)
 
 
-def _spans(start: np.ndarray, length: np.ndarray) -> np.ndarray:
-    """start[0] .. start[0] + length[0] - 1, start[1] .. and so on, in a row."""
-    total = int(length.sum())
-    step = np.ones(total, np.int64)
-    heads = np.cumsum(length) - length
-    if total:
-        step[heads] = start
-        step[heads[1:]] -= start[:-1] + length[:-1] - 1
-    return np.cumsum(step)
-
-
 def _words8(data: np.ndarray) -> np.ndarray:
     """Eight bytes from each position as one number that sorts like them; data is padded by zeros."""
     x, k = data.astype(np.uint64), 1
@@ -297,7 +287,7 @@ def maximal_repeats(data: np.ndarray, at: np.ndarray, length: np.ndarray, least:
     occurrences. A byte before or after a context counts as different from all others."""
     n = np.maximum(length - least + 1, 0)
     ctx = np.repeat(np.arange(len(at)), n)
-    start = _spans(at, n)
+    start = spans(at, n)
     # A suffix whose first `least` bytes nobody else has is in no interval; only the others are sorted.
     keep = _met_twice(data, start, least)
     ctx, start = ctx[keep], start[keep]
@@ -315,26 +305,38 @@ def maximal_repeats(data: np.ndarray, at: np.ndarray, length: np.ndarray, least:
             yield size, list(zip(ctx[a : b + 1].tolist(), offset[a : b + 1].tolist(), strict=True))
 
 
+def _slices(at: np.ndarray, length: np.ndarray, most: int = PASS) -> Iterator[tuple[slice, int, int]]:
+    """Slices of contexts with about `most` bytes: (contexts, first byte, end)."""
+    i = 0
+    while i < len(at):
+        j = max(i + 1, int(np.searchsorted(at, at[i] + most)))
+        yield slice(i, j), int(at[i]), int(at[j - 1] + length[j - 1])
+        i = j
+
+
 def _bucket_contexts(t: pa.Table) -> tuple[np.ndarray, ...]:
     """doc, digest, start, length, anchor and position in the text of one bucket's contexts, and the text."""
     doc, digest, start, length, text = (np.concatenate(x) for x in zip(*map(_opened, t.column("data").to_pylist()), strict=True))
     at = np.cumsum(length) - length
-    anchor = _sliding(_grams(text), MIN - Q + 1, np.minimum)[at]
+    anchor = np.concatenate([_sliding(_grams(text[a:b]), MIN - Q + 1, np.minimum)[at[x] - a] for x, a, b in _slices(at, length)])
     return doc, digest, start, length, anchor, at, text
 
 
 def _same_contexts(anchor: np.ndarray, length: np.ndarray, text: np.ndarray, at: np.ndarray) -> np.ndarray:
-    """The class of each context: equal bytes under one anchor."""
-    w8 = _words8(np.concatenate([text, np.zeros(8, np.uint8)]))
-    most = int(length.max())
-    h = anchor ^ mix(length.astype(np.uint64), 3)
-    g = mix(anchor, 5)
-    for k in range(0, most, 8):
-        left = np.clip(length - k, 0, 8)
-        gap = (np.uint64(8) * (8 - left).astype(np.uint64)) % np.uint64(64)
-        x = np.where(left > 0, w8[np.minimum(at + k, len(w8) - 1)] >> gap, 0)
-        h = mix(h ^ x, k + 1)
-        g = (g ^ x) * np.uint64(0xC2B2AE3D27D4EB4F) + np.uint64(k)
+    """The class of each context: equal bytes under one anchor, by two 64-bit hashes."""
+    hs, gs = [], []
+    for x, a, b in _slices(at, length):
+        w8, own, left = _words8(np.concatenate([text[a:b], np.zeros(8, np.uint8)])), at[x] - a, length[x]
+        h, g = anchor[x] ^ mix(left.astype(np.uint64), 3), mix(anchor[x], 5)
+        for k in range(0, int(left.max()), 8):
+            n = np.clip(left - k, 0, 8)
+            gap = (np.uint64(8) * (8 - n).astype(np.uint64)) % np.uint64(64)
+            word = np.where(n > 0, w8[np.minimum(own + k, len(w8) - 1)] >> gap, 0)
+            h = mix(h ^ word, k + 1)
+            g = (g ^ word) * np.uint64(0xC2B2AE3D27D4EB4F) + np.uint64(k)
+        hs.append(h)
+        gs.append(g)
+    h, g = np.concatenate(hs), np.concatenate(gs)
     order = np.lexsort((g, h))
     new = np.ones(len(h), bool)
     new[1:] = (h[order][1:] != h[order][:-1]) | (g[order][1:] != g[order][:-1])
@@ -343,13 +345,18 @@ def _same_contexts(anchor: np.ndarray, length: np.ndarray, text: np.ndarray, at:
     return out
 
 
-RANGES = "doc_id bigint, digest int, ranges binary"
+#: One row holds, compressed, the ranges of all texts of one part that one bucket has found: how many texts; their doc_id
+#: (differences), digest and number of ranges; first byte and end of each range.
+RANGES = "part int, data binary"
 
 
-def bucket_removals(t: pa.Table) -> pa.Table:
-    """(doc_id, digest, ranges): byte ranges of each text that a text with a smaller id shares, from one bucket's
-    repeat groups."""
-    schema = pa.schema([("doc_id", pa.int64()), ("digest", pa.int32()), ("ranges", pa.binary())])
+def part_of(doc: np.ndarray, parts: int) -> np.ndarray:
+    return (mix(doc.astype(np.uint64), 0x9A27) % np.uint64(parts)).astype(np.int64)
+
+
+def bucket_removals(t: pa.Table, parts: int) -> pa.Table:
+    """(part, ranges): byte ranges of each text that a text with a smaller id shares, from one bucket's repeat groups."""
+    schema = pa.schema([("part", pa.int32()), ("data", pa.binary())])
     doc, digest, start, length, anchor, at, text = _bucket_contexts(t)
     cls = _same_contexts(anchor, length, text, at)
     n = int(cls.max()) + 1
@@ -375,7 +382,7 @@ def bucket_removals(t: pa.Table) -> pa.Table:
         for part in _parts(anchor[one][some], length[one][some]):
             ids = some[part]
             size = length[one][ids]
-            data = text[_spans(at[one][ids], size)]
+            data = text[spans(at[one][ids], size)]
             rows, cuts, ends = [], [], []
             low = smallest[ids]
             for long, where in maximal_repeats(data, np.cumsum(size) - size, size):
@@ -388,24 +395,37 @@ def bucket_removals(t: pa.Table) -> pa.Table:
             if rows:
                 k = ids[np.array(rows)]
                 count = owners[k + 1] - owners[k]
-                w = first[_spans(owners[k], count)]
+                w = first[spans(owners[k], count)]
                 lo.append(start[w] + np.repeat(np.array(cuts), count))
                 hi.append(start[w] + np.repeat(np.array(ends), count))
                 who.append(w)
     lo, hi, who = (np.concatenate(x) for x in (lo, hi, who))
     if not len(lo):
         return schema.empty_table()
-    order = np.lexsort((lo, digest[who], doc[who]))
-    lo, hi, who = lo[order], hi[order], who[order]
+    part = part_of(doc, parts)[who]
+    order = np.lexsort((lo, digest[who], doc[who], part))
+    lo, hi, who, part = lo[order], hi[order], who[order], part[order]
     d, g = doc[who], digest[who]
     new = np.ones(len(d), bool)
     new[1:] = (d[1:] != d[:-1]) | (g[1:] != g[:-1])
     heads = np.flatnonzero(new)
     lo, hi, cut = _united(lo, hi, heads)
     pairs = np.stack([lo, hi], 1).astype("<u4")
-    bounds = cut.tolist()
-    blobs = [pairs[x:y].tobytes() for x, y in zip(bounds[:-1], bounds[1:], strict=True)]
-    return pa.Table.from_arrays([pa.array(d[heads]), pa.array(g[heads].astype(np.int32)), pa.array(blobs, pa.binary())], schema=schema)
+    d, g, count = d[heads], g[heads].astype(np.int32), np.diff(cut).astype("<u4")
+    edges = np.append(np.flatnonzero(np.append(True, np.diff(part[heads]) > 0)), len(heads))
+    zip_ = zstandard.ZstdCompressor(level=3)
+    rows = [zip_.compress(b"".join(x.tobytes() for x in (np.array([b - a], "<u4"), np.diff(d[a:b], prepend=0), g[a:b], count[a:b], pairs[cut[a] : cut[b]]))) for a, b in zip(edges[:-1], edges[1:], strict=True)]
+    return pa.Table.from_arrays([pa.array(part[heads][edges[:-1]], pa.int32()), pa.array(rows, pa.binary())], schema=schema)
+
+
+def opened_ranges(data: bytes) -> dict[tuple[int, int], np.ndarray]:
+    """(doc_id, digest) -> ranges."""
+    raw = zstandard.ZstdDecompressor().decompress(data)
+    n = int(np.frombuffer(raw, "<u4", 1)[0])
+    doc = np.cumsum(np.frombuffer(raw, np.int64, n, 4))
+    digest, count = np.frombuffer(raw, np.int32, n, 4 + 8 * n), np.frombuffer(raw, "<u4", n, 4 + 12 * n)
+    pairs = np.frombuffer(raw, "<u4", offset=4 + 16 * n).reshape(-1, 2).astype(np.int64)
+    return dict(zip(zip(doc.tolist(), digest.tolist(), strict=True), np.split(pairs, np.cumsum(count)[:-1]), strict=True))
 
 
 def _parts(anchor: np.ndarray, length: np.ndarray, most: int = 4 << 20) -> Iterator[slice]:
@@ -434,41 +454,54 @@ def _united(lo: np.ndarray, hi: np.ndarray, heads: np.ndarray) -> tuple[np.ndarr
     return lo[at], b[last] - g * far, np.append(np.searchsorted(g, np.arange(len(heads))), len(at))
 
 
-def removals(docs: DataFrame) -> DataFrame:
-    """doc_id, digest, ranges (pairs of unsigned 32-bit integers): what each text shares with a text of a smaller id."""
-    rows = _key_column(docs)
-    total = docs.agg(F.sum(F.octet_length(text_of(docs)))).first()[0] or 0
-    bits = min(MAX_CELL_BITS, max(20, math.ceil(math.log2(total / 2 + 1))))
+def removals(rows: DataFrame, total: int, parts: int) -> DataFrame:
+    """(part, data): what each text shares with a text of a smaller id. rows: doc_id, digest, text; total: their bytes."""
+    bits = min(MAX_CELL_BITS, max(20, math.ceil(math.log2(total / 4 + 1))))
     table = shared_cells(rows, bits)
-    buckets = max(32, -(-int(total) // BUCKET_BYTES))
-    blobs = contexts(rows, bits, table, buckets)
-    return stored(blobs.groupBy("bucket").applyInArrow(bucket_removals, RANGES), "repeat-ranges")
+    blobs = contexts(rows, bits, table, max(32, -(-total // BUCKET_BYTES)))
+
+    def run(t: pa.Table) -> pa.Table:
+        return bucket_removals(t, parts)
+
+    return stored(blobs.groupBy("bucket").applyInArrow(run, RANGES), "repeat-ranges")
 
 
 def report(docs: DataFrame) -> DataFrame:
     """doc_id, n_bytes, n_removed, n_spans, kept_sha256: one row for each row of docs."""
     schema = pa.schema([("doc_id", pa.int64()), ("n_bytes", pa.int64()), ("n_removed", pa.int64()), ("n_spans", pa.int64()), ("kept_sha256", pa.string())])
-    gone = removals(docs).groupBy("doc_id", "digest").agg(F.collect_list("ranges").alias("ranges"))
+    rows = _key_column(docs)
+    total = int(rows.agg(F.sum(F.octet_length("text"))).first()[0] or 0)
+    parts = max(32, -(-total // BUCKET_BYTES))
+    found = removals(rows, total, parts)
 
-    def run(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    def numbered(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        own = pa.schema([("part", pa.int32()), ("doc_id", pa.int64()), ("digest", pa.int32()), ("text", pa.string())])
         for b in batches:
-            out = []
-            for doc, text, ranges in zip(b.column(0).to_pylist(), b.column(1), b.column(2).to_pylist(), strict=True):
-                raw = memoryview(text.as_buffer())
-                removed = spans = 0
-                digest, at = hashlib.sha256(), 0
-                if ranges:
-                    r = np.frombuffer(b"".join(ranges), "<u4").reshape(-1, 2).astype(np.int64)
-                    r = r[np.argsort(r[:, 0], kind="stable")]
-                    lo, hi, _ = _united(r[:, 0], r[:, 1], np.zeros(1, np.int64))
-                    removed, spans = int((hi - lo).sum()), len(lo)
-                    for x, y in zip(lo.tolist(), hi.tolist(), strict=True):
-                        digest.update(raw[at:x])
-                        at = y
-                digest.update(raw[at:])
-                out.append((doc, len(raw), removed, spans, digest.hexdigest()))
-            if out:
-                yield batch_of(schema, *zip(*out, strict=True))
-
-    rows = _key_column(docs)
-    return rows.join(gone, ["doc_id", "digest"], "left").select("doc_id", "text", "ranges").mapInArrow(run, "doc_id bigint, n_bytes bigint, n_removed bigint, n_spans bigint, kept_sha256 string")
+            part = part_of(b.column(0).fill_null(0).to_numpy(zero_copy_only=False), parts)
+            yield batch_of(own, part.astype(np.int32), b.column(0), b.column(1), b.column(2))
+
+    def run(texts: pa.Table, ranges: pa.Table) -> pa.Table:
+        gone: dict[tuple[int, int], list[np.ndarray]] = {}
+        for data in ranges.column("data").to_pylist():
+            for k, r in opened_ranges(data).items():
+                gone.setdefault(k, []).append(r)
+        out = []
+        for doc, mark, text in zip(texts.column("doc_id").to_pylist(), texts.column("digest").to_pylist(), texts.column("text").cast(pa.binary()).to_pylist(), strict=True):
+            removed = spans_ = at = 0
+            digest = hashlib.sha256()
+            if own := gone.get((doc, mark)):
+                r = np.concatenate(own)
+                r = r[np.argsort(r[:, 0], kind="stable")]
+                lo, hi, _ = _united(r[:, 0], r[:, 1], np.zeros(1, np.int64))
+                removed, spans_ = int((hi - lo).sum()), len(lo)
+                for x, y in zip(lo.tolist(), hi.tolist(), strict=True):
+                    digest.update(text[at:x])
+                    at = y
+            digest.update(text[at:])
+            out.append((doc, len(text), removed, spans_, digest.hexdigest()))
+        if not out:
+            return schema.empty_table()
+        return pa.Table.from_arrays([pa.array(c, f.type) for c, f in zip(zip(*out, strict=True), schema, strict=True)], schema=schema)
+
+    dealt = rows.mapInArrow(numbered, "part int, doc_id bigint, digest int, text string")
+    return dealt.groupBy("part").cogroup(found.groupBy("part")).applyInArrow(run, "doc_id bigint, n_bytes bigint, n_removed bigint, n_spans bigint, kept_sha256 string")
