@@ -4,10 +4,10 @@ from __future__ import annotations
 
 from dataclasses import dataclass
 
-from pyspark.sql import DataFrame, SparkSession, Window
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tidelog.functions.ranks import with_rank
+from tidelog.functions.ranks import with_rank, with_running_sum
 
 SIGMA = (2**31 - 1) / 3
 
@@ -72,10 +72,13 @@ def lines(w: DataFrame) -> DataFrame:
 
 
 def put_blocks(w: DataFrame) -> DataFrame:
-    """w plus block: consecutive puts share a number, other commands have none; each block can be an external file."""
-    order = Window.orderBy("pos")
-    d = w.withColumn("_new", F.when((F.col("op") == "p") & (F.coalesce(F.lag("op").over(order), F.lit("")) != "p"), 1).otherwise(0))
-    return d.withColumn("block", F.when(F.col("op") == "p", F.sum("_new").over(order) - 1)).drop("_new")
+    """w (with dense positions) plus block: consecutive puts share a number, other commands have none; each block can
+    be an external file."""
+    puts = w.where("op = 'p'").select("pos")
+    first = puts.join(puts.select((F.col("pos") + 1).alias("pos")), "pos", "left_anti").withColumn("_new", F.lit(1))
+    d = w.join(first, "pos", "left").withColumn("_new", F.coalesce("_new", F.lit(0)))
+    d = with_running_sum(d, [F.col("pos")], "_new", "_sum")
+    return d.select(*w.columns, F.when(F.col("op") == "p", F.col("_sum") - 1).alias("block"))
 
 
 def describe(w: Workload) -> str:
