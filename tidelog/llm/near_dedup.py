@@ -153,13 +153,15 @@ def sketches(h: np.ndarray, heads: np.ndarray) -> np.ndarray:
 
 
 def _across(open_: DataFrame) -> DataFrame:
-    """(a, b): all pairs of one posting with different components that agree. open_ has (token, part, block, rep,
-    comp, n_shingles, signature, sketch); a group is (token, part), sorted, and pairs within one block of a mixed part are
+    """(a, b): all pairs of one posting with different components that agree. A pair that shares several postings is
+    told by the one with the smallest token; where one of the two is that posting's centre, the star has told it.
+
+    open_ has (token, part, block, rep, comp, n_shingles, signature, sketch, tokens); a group is (token, part), sorted, and pairs within one block of a mixed part are
     left to the part of that block alone."""
     schema = pa.schema([("a", pa.int64()), ("b", pa.int64())])
     most = 1 << 19
 
-    def pairs_of(group: np.ndarray, mixed, block, rep, comp, n, sig, sketch) -> Iterator[pa.RecordBatch]:
+    def pairs_of(group: np.ndarray, token, mixed, block, rep, comp, n, sig, sketch, own) -> Iterator[pa.RecordBatch]:
         size = np.bincount(group)
         place = np.arange(len(group)) - np.repeat(np.cumsum(size) - size, size)
         after = size[group] - 1 - place
@@ -180,11 +182,20 @@ def _across(open_: DataFrame) -> DataFrame:
                     u, v = sketch[x[m : m + (1 << 12)]], sketch[y[m : m + (1 << 12)]]
                     full = (u | v) > 0
                     near = 100 * ((u == v) & full).sum(1) >= SKETCH_PERCENT * full.sum(1)
-                    if near.any():
-                        p, q = rep[x[m : m + (1 << 12)][near]], rep[y[m : m + (1 << 12)][near]]
+                    i, j = x[m : m + (1 << 12)][near], y[m : m + (1 << 12)][near]
+                    both = ((own[i][:, :, None] == own[j][:, None, :]) & (own[i] != 0)[:, :, None]).any(2)
+                    here = np.where(both, own[i], np.iinfo(np.int64).max).min(1) == token[i]
+                    if here.any():
+                        p, q = rep[i[here]], rep[j[here]]
                         yield batch_of(schema, np.minimum(p, q), np.maximum(p, q))
             at = end
 
+    def padded(tokens: pa.ChunkedArray) -> np.ndarray:
+        length = np.concatenate([c.value_lengths().to_numpy() for c in tokens.chunks]).astype(np.int64)
+        out = np.zeros((len(length), PREFIX), np.int64)
+        out[np.repeat(np.arange(len(length)), length), np.arange(int(length.sum())) - np.repeat(np.cumsum(length) - length, length)] = np.concatenate([c.flatten().to_numpy() for c in tokens.chunks])
+        return out
+
     def run(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         kept: list[pa.RecordBatch] = []
 
@@ -192,7 +203,7 @@ def _across(open_: DataFrame) -> DataFrame:
             if t.num_rows > 1:
                 token, part, block, rep, comp, n = (t.column(k).to_numpy() for k in range(6))
                 new = np.concatenate([[False], (token[1:] != token[:-1]) | (part[1:] != part[:-1])])
-                yield from pairs_of(np.cumsum(new), part < 0, block, rep, comp, n, _matrix(t.column(6), np.uint8, COORDINATES), _matrix(t.column(7), np.uint8, SKETCH))
+                yield from pairs_of(np.cumsum(new), token, part < 0, block, rep, comp, n, _matrix(t.column(6), np.uint8, COORDINATES), _matrix(t.column(7), np.uint8, SKETCH), padded(t.column(8)))
 
         for b in batches:
             kept.append(b)
@@ -205,7 +216,7 @@ def _across(open_: DataFrame) -> DataFrame:
         if kept:
             yield from work(pa.Table.from_batches(kept))
 
-    return open_.select("token", "part", "block", "rep", "comp", "n_shingles", "signature", "sketch").mapInArrow(run, "a bigint, b bigint")
+    return open_.select("token", "part", "block", "rep", "comp", "n_shingles", "signature", "sketch", "tokens").mapInArrow(run, "a bigint, b bigint")
 
 
 def _filter_words(ids: DataFrame) -> np.ndarray:
@@ -288,8 +299,10 @@ def report(docs: DataFrame) -> DataFrame:
     lists = held.groupBy("token").agg(F.min("rep").alias("centre"), F.min("comp").alias("lo"), F.max("comp").alias("hi"), F.count("*").alias("n"))
     lists = lists.where("lo < hi and n > 2").select("token", "centre", F.ceil((F.col("n") - 1) / BLOCK).cast("int").alias("blocks"))
     rest = stored(held.join(lists, "token").where("rep <> centre").select("token", "rep", "comp", "blocks"), "near-open")
-    finer = _sketches(docs, rest.select("rep").distinct(), repeated)
-    rest = rest.join(reps.select("rep", "n_shingles", "signature"), "rep").join(finer, "rep")
+    ids = rest.select("rep").distinct()
+    finer = _sketches(docs, ids, repeated)
+    own = posts.join(ids, "rep", "left_semi").groupBy("rep").agg(F.collect_list("token").alias("tokens"))
+    rest = rest.join(reps.select("rep", "n_shingles", "signature"), "rep").join(finer, "rep").join(own, "rep")
     block = F.pmod(F.xxhash64("rep"), F.col("blocks")).cast("int")
     # Parts 0, 1, ... hold one block each; a negative part holds two, whose own pairs are skipped there.
     other = F.transform(F.sequence(F.lit(0), F.col("blocks") - 1), lambda k: F.when(k == F.col("block"), k).otherwise(-1 - (F.least(k, F.col("block")) * F.col("blocks") + F.greatest(k, F.col("block")))))
