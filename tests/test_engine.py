@@ -254,6 +254,13 @@ def test_workload(spark):
     assert all(p == list(range(p[0], p[0] + len(p))) for p in blocks.values())
     with pytest.raises(ValueError):
         workload.Workload(puts=0)
+    # Puts moved into files and loaded again make the same workload.
+    moved, files = workload.externalize(d)
+    content = {r["file"]: bytes(r["content"]) for r in files.collect()}
+    assert sum(map(len, content.values())) == 8 * 400
+    pairs = [(f, i, *p) for f, c in content.items() for i, p in enumerate(struct.iter_unpack("<ii", c))]
+    back = replay.expand_loads(moved, spark.createDataFrame(pairs, "file string, pos bigint, key int, val int"))
+    assert [tuple(r) for r in back.where("op <> 'l'").select("op", "a", "b").orderBy("pos").collect()] == [r[1:] for r in rows]
 
 
 def test_streaming_into_a_store(spark, tmp_path):

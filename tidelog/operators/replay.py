@@ -45,16 +45,19 @@ def replay_ranges(w: DataFrame) -> DataFrame:
 
 def workload_stats(w: DataFrame) -> DataFrame:
     """One row of counters; loaded pairs should stand in w as puts."""
-    seen = _seen(w)
-    own = seen.agg(
-        F.count_if(F.col("op") == "p").alias("puts"),
-        F.count_if((F.col("op") == "g") & F.col("found")).alias("successful_gets"),
-        F.count_if((F.col("op") == "g") & ~F.col("found")).alias("failed_gets"),
-        F.count_if((F.col("op") == "d") & F.col("found")).alias("successful_deletes"),
-        F.count_if((F.col("op") == "d") & ~F.col("found")).alias("failed_deletes"),
+    rest = w.where(F.col("op").isin("r", "l")).select("op", F.lit(None).cast("boolean").alias("found"))
+    seen = _seen(w).select("op", "found").unionByName(rest)
+    count = lambda op, *more: F.count_if((F.col("op") == op) if not more else (F.col("op") == op) & more[0])
+    found = F.col("found")
+    return seen.agg(
+        count("p").alias("puts"),
+        count("g", found).alias("successful_gets"),
+        count("g", ~found).alias("failed_gets"),
+        count("d", found).alias("successful_deletes"),
+        count("d", ~found).alias("failed_deletes"),
+        count("r").alias("ranges"),
+        count("l").alias("loads"),
     )
-    rest = w.agg(F.count_if(F.col("op") == "r").alias("ranges"), F.count_if(F.col("op") == "l").alias("loads"))
-    return own.join(rest)
 
 
 def expand_loads(w: DataFrame, pairs: DataFrame) -> DataFrame:

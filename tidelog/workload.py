@@ -8,6 +8,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from tidelog.functions.ranks import with_rank, with_running_sum
+from tidelog.sources.binary import pair_bytes
 
 SIGMA = (2**31 - 1) / 3
 
@@ -81,5 +82,15 @@ def put_blocks(w: DataFrame) -> DataFrame:
     return d.select(*w.columns, F.when(F.col("op") == "p", F.col("_sum") - 1).alias("block"))
 
 
+def externalize(w: DataFrame) -> tuple[DataFrame, DataFrame]:
+    """(commands, files): each block of puts as one load, and the files (file, content) that the loads name."""
+    d = put_blocks(w)
+    name = F.concat(F.col("block").cast("string"), F.lit(".dat"))
+    files = pair_bytes(d.where("op = 'p'"), "block", "pos", "a", "b").select(name.alias("file"), "content")
+    none = F.lit(None)
+    loads = d.where("op = 'p'").groupBy("block").agg(F.min("pos").alias("pos")).select("pos", F.lit("l").alias("op"), none.cast("int").alias("a"), none.cast("int").alias("b"), name.alias("file"))
+    return d.where("op <> 'p'").select("pos", "op", "a", "b", none.cast("string").alias("file")).unionByName(loads), files
+
+
 def describe(w: Workload) -> str:
     return "\n".join(f"{k:16} {v}" for k, v in vars(w).items())
