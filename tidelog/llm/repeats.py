@@ -44,7 +44,8 @@ from .common import _MULT, _powers, batch_of, mix, passes, spans, stored, text_o
 
 MIN, Q = 50, 16
 MAX_CELL_BITS = 28
-SLICES = 32
+#: Text, about, whose anchors one slice of the bit table gets; a slice is one task's work.
+SLICE_BYTES = 32 << 20
 BUCKET_BYTES = 4 << 20
 FLUSH_BYTES = 48 << 20
 #: Text that one numpy pass takes.
@@ -100,10 +101,10 @@ def _key_column(docs: DataFrame) -> DataFrame:
     return d.select("doc_id", F.hash("text").alias("digest"), "text")
 
 
-def shared_cells(rows: DataFrame, bits: int) -> np.ndarray:
-    """A table of 2**bits bits: cells of anchors that two texts at least have hit."""
+def shared_cells(rows: DataFrame, bits: int, slices: int) -> np.ndarray:
+    """A table of 2**bits bits: cells of anchors that two texts at least have hit. slices: a power of two."""
     shift = np.uint64(64 - bits)
-    per = (1 << bits) // SLICES
+    per = (1 << bits) // slices
     schema = pa.schema([("slice", pa.int32()), ("cells", pa.binary()), ("again", pa.binary())])
 
     def run(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -112,7 +113,7 @@ def shared_cells(rows: DataFrame, bits: int) -> np.ndarray:
 
         def flush() -> pa.RecordBatch:
             cells, n = np.unique(np.concatenate(held), return_counts=True)
-            cut = np.searchsorted(cells, np.arange(SLICES + 1, dtype=np.int64) * per)
+            cut = np.searchsorted(cells, np.arange(slices + 1, dtype=np.int64) * per)
             own = [(k, (cells[a:b] - k * per).astype(np.uint32), n[a:b] > 1) for k, (a, b) in enumerate(zip(cut[:-1], cut[1:], strict=True))]
             return batch_of(schema, [k for k, _, _ in own], [c.tobytes() for _, c, _ in own], [np.packbits(m).tobytes() for _, _, m in own])
 
@@ -138,7 +139,7 @@ def shared_cells(rows: DataFrame, bits: int) -> np.ndarray:
         return pa.table({"slice": pa.array([t.column("slice")[0].as_py()], pa.int32()), "bits": pa.array([np.packbits(out, bitorder="little").tobytes()], pa.binary())})
 
     t = rows.mapInArrow(run, "slice int, cells binary, again binary").groupBy("slice").applyInArrow(join, "slice int, bits binary").toArrow()
-    table = np.zeros((SLICES, per // 8), np.uint8)
+    table = np.zeros((slices, per // 8), np.uint8)
     for k, x in zip(t.column("slice").to_pylist(), t.column("bits").to_pylist(), strict=True):
         table[k] = np.frombuffer(x, np.uint8)
     return table.ravel()
@@ -457,7 +458,7 @@ def _united(lo: np.ndarray, hi: np.ndarray, heads: np.ndarray) -> tuple[np.ndarr
 def removals(rows: DataFrame, total: int, parts: int) -> DataFrame:
     """(part, data): what each text shares with a text of a smaller id. rows: doc_id, digest, text; total: their bytes."""
     bits = min(MAX_CELL_BITS, max(20, math.ceil(math.log2(total / 4 + 1))))
-    table = shared_cells(rows, bits)
+    table = shared_cells(rows, bits, 1 << max(5, min(bits - 10, math.ceil(math.log2(total / SLICE_BYTES + 1)))))
     blobs = contexts(rows, bits, table, max(32, -(-total // BUCKET_BYTES)))
 
     def run(t: pa.Table) -> pa.Table:
