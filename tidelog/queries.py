@@ -5,7 +5,6 @@ EV is events keyed by user, where an error deletes; ORD is orders keyed by custo
 
 from __future__ import annotations
 
-import tempfile
 import uuid
 from collections.abc import Callable
 
@@ -13,6 +12,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from tidelog.operators import compaction, layout, reads, replay
+from tidelog.plans.scratch import scratch_path
 from tidelog.plans.store import Store
 from tidelog.sources import binary, commands
 from tidelog.sources.changelog import events_log, orders_log
@@ -211,23 +211,13 @@ def _commands_of(log: DataFrame) -> DataFrame:
 
 def _filled(spark, sf, **config) -> Store:
     """A store with all orders, in two batches."""
-    root = _shared(spark)
-    store = Store.open(spark, f"{root}/{_fresh()}" if root else tempfile.mkdtemp(prefix="store-"), compaction.Config(**config))
+    store = Store.open(spark, scratch_path(spark, "store"), compaction.Config(**config))
     w = _commands_of(orders_log(spark, sf))
     store.apply(w.where("pos % 2 = 0"))
     store.apply(w.where("pos % 2 = 1"))
     return store
 
 
-def _shared(spark: SparkSession) -> str | None:
-    root = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getConf().get("spark.checkpoint.dir")
-    return root.rstrip("/") if root else None
-
-
-def _fresh() -> str:
-    return f"store-{uuid.uuid4().hex}"
-
-
 def kv_store_snapshot(spark, sf):
     """A store that flushes and merges on the way, read at the end."""
     return _filled(spark, sf, fanout=2, memtable_bytes=16 << 10, file_bytes=64 << 10).snapshot()
@@ -260,9 +250,7 @@ def kv_stream_snapshot(spark, sf):
     schema = spark.read.parquet(f"{sf}/events.parquet").schema
     s = spark.readStream.schema(schema).option("pathGlobFilter", "events.parquet").parquet(sf)
     log = s.select(F.col("user_id").alias("user_key"), F.col("event_id").alias("seq_num"), F.when(F.col("event_type") == "error", "D").otherwise("P").alias("write_type"), F.col("value").alias("user_val"))
-    root = _shared(spark)
-    checkpoint = f"{root}/stream-{_fresh()}" if root else tempfile.mkdtemp(prefix="stream-")
-    out = ingest.run_to_table(ingest.snapshot_stream(log), f"stream_{_fresh().replace('-', '_')}", checkpoint)
+    out = ingest.run_to_table(ingest.snapshot_stream(log), f"stream_{uuid.uuid4().hex}", scratch_path(spark, "stream"))
     return out.select(F.col("user_key").alias("key"), "seq_num", F.col("user_val").alias("val"))
 
 
