@@ -13,6 +13,7 @@ from tidelog.plans.store import Store
 from tidelog.sources.commands import HELP, VERBS
 
 PROMPT = "(tidelog) "
+HISTORY = ".cmd_history"
 NUMBER = re.compile(r"[+-]?[0-9]+")
 
 
@@ -73,11 +74,24 @@ def run(store: Store, lines: Iterable[str]) -> Iterator[str]:
     settle()
 
 
+def keep_history() -> None:
+    """Line editing, with the commands of earlier sessions in this folder; only where a terminal is attached."""
+    import atexit
+    import contextlib
+    import readline
+
+    with contextlib.suppress(OSError):
+        readline.read_history_file(HISTORY)
+    atexit.register(readline.write_history_file, HISTORY)
+
+
 def main() -> None:
     p = argparse.ArgumentParser(description=__doc__)
     p.add_argument("--path", help="folder of a durable store; without it the store is gone at the end")
     spark = SparkSession.builder.appName("tidelog").getOrCreate()
     store = Store.open(spark, p.parse_args().path)
+    if sys.stdin.isatty():
+        keep_history()
 
     def ask() -> Iterator[str]:
         while True:
