@@ -10,8 +10,9 @@ first POSTED coordinates.
 - First each posting is merged as a star around its smallest member, so a posting of n texts makes n - 1 pairs. Pairs
   that agree are confirmed on the full sets (100 * intersection >= THRESHOLD * union), and the confirmed links make
   components.
-- Then the postings that still hold several components, without their centres, are merged fully, but only across
-  components and between sets of matching size. So no link between different texts is lost, and the members of a
+- Then the postings that still hold several components, without their centres, are merged, but only across components
+  and between sets of matching size: once for the most alike partner of each text, whose links are confirmed first, and
+  once fully. So no link between different texts is lost, and the members of a
   large group of near copies aren't paired with each other. A posting of more than BLOCK texts is merged in pairs of
   blocks. As many texts can be just less alike than the threshold, these pairs must also agree by a finer sketch
   (the least shingle of each of SKETCH bins) before they are confirmed.
@@ -152,9 +153,21 @@ def sketches(h: np.ndarray, heads: np.ndarray) -> np.ndarray:
     return out.reshape(-1, SKETCH)
 
 
-def _across(open_: DataFrame) -> DataFrame:
+def _best(i: np.ndarray, j: np.ndarray, likeness: np.ndarray) -> np.ndarray:
+    """Which pairs are the best of one of their two ends."""
+    ends, at = np.concatenate([i, j]), np.tile(np.arange(len(i)), 2)
+    order = np.lexsort((at, -likeness[at], ends))
+    first = np.ones(len(order), bool)
+    first[1:] = ends[order][1:] != ends[order][:-1]
+    out = np.zeros(len(i), bool)
+    out[at[order[first]]] = True
+    return out
+
+
+def _across(open_: DataFrame, best: bool) -> DataFrame:
     """(a, b): all pairs of one posting with different components that agree. A pair that shares several postings is
     told by the one with the smallest token; where one of the two is that posting's centre, the star has told it.
+    best: only the most alike pair of each text, of those that are looked at together.
 
     open_ has (token, part, block, rep, comp, n_shingles, signature, sketch, tokens); a group is (token, part), sorted, and pairs within one block of a mixed part are
     left to the part of that block alone."""
@@ -172,6 +185,7 @@ def _across(open_: DataFrame) -> DataFrame:
             cnt = after[at:end]
             a = np.repeat(np.arange(at, end), cnt)
             b = a + 1 + np.arange(len(a)) - np.repeat(np.cumsum(cnt) - cnt, cnt)
+            told: list[tuple[np.ndarray, np.ndarray, np.ndarray]] = []
             fit = (comp[a] != comp[b]) & (100 * np.minimum(n[a], n[b]) >= THRESHOLD * np.maximum(n[a], n[b])) & ~(mixed[a] & (block[a] == block[b]))
             a, b = a[fit], b[fit]
             for k in range(0, len(a), 1 << 15):
@@ -180,14 +194,20 @@ def _across(open_: DataFrame) -> DataFrame:
                 x, y = x[good], y[good]
                 for m in range(0, len(x), 1 << 12):
                     u, v = sketch[x[m : m + (1 << 12)]], sketch[y[m : m + (1 << 12)]]
-                    full = (u | v) > 0
-                    near = 100 * ((u == v) & full).sum(1) >= SKETCH_PERCENT * full.sum(1)
+                    full = ((u | v) > 0).sum(1)
+                    same = ((u == v) & (u > 0)).sum(1)
+                    near = 100 * same >= SKETCH_PERCENT * full
                     i, j = x[m : m + (1 << 12)][near], y[m : m + (1 << 12)][near]
                     both = ((own[i][:, :, None] == own[j][:, None, :]) & (own[i] != 0)[:, :, None]).any(2)
                     here = np.where(both, own[i], np.iinfo(np.int64).max).min(1) == token[i]
-                    if here.any():
-                        p, q = rep[i[here]], rep[j[here]]
-                        yield batch_of(schema, np.minimum(p, q), np.maximum(p, q))
+                    told.append((i[here], j[here], (same[near] / full[near])[here]))
+            if told:
+                i, j, likeness = (np.concatenate(t) for t in zip(*told, strict=True))
+                if best and len(i):
+                    keep = _best(i, j, likeness)
+                    i, j = i[keep], j[keep]
+                if len(i):
+                    yield batch_of(schema, np.minimum(rep[i], rep[j]), np.maximum(rep[i], rep[j]))
             at = end
 
     def padded(tokens: pa.ChunkedArray) -> np.ndarray:
@@ -281,6 +301,22 @@ def _links(pairs: DataFrame, docs: DataFrame, repeated: bool) -> DataFrame:
     return stored(_confirmed(pairs, _sets(docs, ids, repeated)), "near-links")
 
 
+def _open_postings(posts: DataFrame, comps: DataFrame, reps: DataFrame, docs: DataFrame, repeated: bool) -> DataFrame:
+    """What `_across` reads: the postings with several components, without their centres, dealt and sorted."""
+    held = posts.join(comps, F.col("rep") == F.col("node"), "left").select("token", "rep", F.coalesce("component", "rep").alias("comp"))
+    lists = held.groupBy("token").agg(F.min("rep").alias("centre"), F.min("comp").alias("lo"), F.max("comp").alias("hi"), F.count("*").alias("n"))
+    lists = lists.where("lo < hi and n > 2").select("token", "centre", F.ceil((F.col("n") - 1) / BLOCK).cast("int").alias("blocks"))
+    rest = stored(held.join(lists, "token").where("rep <> centre").select("token", "rep", "comp", "blocks"), "near-open")
+    ids = rest.select("rep").distinct()
+    finer = _sketches(docs, ids, repeated)
+    own = posts.join(ids, "rep", "left_semi").groupBy("rep").agg(F.collect_list("token").alias("tokens"))
+    rest = rest.join(reps.select("rep", "n_shingles", "signature"), "rep").join(finer, "rep").join(own, "rep")
+    block = F.pmod(F.xxhash64("rep"), F.col("blocks")).cast("int")
+    # Parts 0, 1, ... hold one block each; a negative part holds two, whose own pairs are skipped there.
+    other = F.transform(F.sequence(F.lit(0), F.col("blocks") - 1), lambda k: F.when(k == F.col("block"), k).otherwise(-1 - (F.least(k, F.col("block")) * F.col("blocks") + F.greatest(k, F.col("block")))))
+    return rest.withColumn("block", block).withColumn("part", F.explode(other)).repartition("token", "part").sortWithinPartitions("token", "part")
+
+
 def report(docs: DataFrame) -> DataFrame:
     """doc_id, n_shingles, component_id, kept: one row for each row of docs."""
     sigs = stored(signatures(docs), "near-signatures")
@@ -295,20 +331,11 @@ def report(docs: DataFrame) -> DataFrame:
     links = _links(stored(_agreeing(star, reps), "near-stars"), docs, repeated)
     comps = components(links)
 
-    held = posts.join(comps, F.col("rep") == F.col("node"), "left").select("token", "rep", F.coalesce("component", "rep").alias("comp"))
-    lists = held.groupBy("token").agg(F.min("rep").alias("centre"), F.min("comp").alias("lo"), F.max("comp").alias("hi"), F.count("*").alias("n"))
-    lists = lists.where("lo < hi and n > 2").select("token", "centre", F.ceil((F.col("n") - 1) / BLOCK).cast("int").alias("blocks"))
-    rest = stored(held.join(lists, "token").where("rep <> centre").select("token", "rep", "comp", "blocks"), "near-open")
-    ids = rest.select("rep").distinct()
-    finer = _sketches(docs, ids, repeated)
-    own = posts.join(ids, "rep", "left_semi").groupBy("rep").agg(F.collect_list("token").alias("tokens"))
-    rest = rest.join(reps.select("rep", "n_shingles", "signature"), "rep").join(finer, "rep").join(own, "rep")
-    block = F.pmod(F.xxhash64("rep"), F.col("blocks")).cast("int")
-    # Parts 0, 1, ... hold one block each; a negative part holds two, whose own pairs are skipped there.
-    other = F.transform(F.sequence(F.lit(0), F.col("blocks") - 1), lambda k: F.when(k == F.col("block"), k).otherwise(-1 - (F.least(k, F.col("block")) * F.col("blocks") + F.greatest(k, F.col("block")))))
-    parts = rest.withColumn("block", block).withColumn("part", F.explode(other)).repartition("token", "part").sortWithinPartitions("token", "part")
-    again = stored(_across(parts).distinct(), "near-across")
-    if again.take(1):
+    # Each text's most alike partner first: that joins most of a family, and leaves few pairs across components.
+    for best in (True, False):
+        again = stored(_across(_open_postings(posts, comps, reps, docs, repeated), best).distinct(), "near-across")
+        if not again.take(1):
+            break
         links = links.unionByName(_links(again, docs, repeated))
         comps = components(links)
 
