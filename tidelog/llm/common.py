@@ -198,11 +198,11 @@ def components(edges: DataFrame, name: str = "components") -> DataFrame:
     labels = None
     while True:
         both = now.unionByName(now.select(F.col("b").alias("a"), F.col("a").alias("b")))
-        first = stored(both.groupBy("a").agg(F.least("a", F.min("b")).alias("p")), name)
-        if not first.take(1):
-            break
+        first = both.groupBy("a").agg(F.least("a", F.min("b")).alias("p"))
         second = first.select(F.col("a").alias("p"), F.col("p").alias("q"))
         point = stored(first.join(second, "p").select(F.col("a").alias("node"), F.col("q").alias("to")), name)
+        if not point.take(1):
+            break
         if labels is None:
             labels = point.select("node", F.col("to").alias("component"))
         else:
