@@ -330,6 +330,14 @@ def test_exact_edges(messy, empty):
     assert exact_dedup.report(empty).count() == 0
 
 
+def test_exact_drops_rows_not_ids(spark):
+    made = [(7, "A", 1), (7, "B", 1), (9, "a", 1), (None, "A", 1), (None, "C", 1), (None, "D", 1), (None, "d", 1), (None, None, 1), (3, "", 1), (7, "A", 2)]
+    d = spark.createDataFrame(made, "doc_id bigint, text string, _own int")
+    kept = exact_dedup.drop_copies(d)
+    assert kept.columns == d.columns
+    assert sorted(map(tuple, kept.collect()), key=repr) == sorted([(7, "B", 1), (9, "a", 1), (None, "C", 1), (None, "D", 1), (None, "d", 1), (3, "", 1)], key=repr)
+
+
 # 9
 
 

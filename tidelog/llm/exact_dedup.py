@@ -14,6 +14,7 @@ Defined results
 - null doc_id: never the largest; a group with only null ids keeps the rows with a null id.
 - repeated rows (the same doc_id and text): all of them are the row that stays, and count in group_size.
 - empty table: no rows.
+- the same doc_id (or none) with different texts: each row is judged by its own text.
 - Columns of the input that clash with result names don't matter: the report has only its own columns, and
   `drop_copies` returns the input's columns as they are.
 """
@@ -32,6 +33,10 @@ CELLS_PER_ROW = 16
 MAX_CELLS = 1 << 26
 
 
+def _hash_of(docs: DataFrame, text_col: str) -> Column:
+    return F.sha2(ascii_lower(text_of(docs, text_col)).cast("binary"), 256)
+
+
 def _cells(key: Column, cells: int) -> list[Column]:
     return [F.pmod(F.xxhash64(key, F.lit(i)), F.lit(cells)) for i in range(HASHES)]
 
@@ -51,7 +56,7 @@ def _bits(keys: DataFrame, cells: int) -> DataFrame:
 
 def report(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", max_cells: int = MAX_CELLS) -> DataFrame:
     """doc_id, keep_id, group_size, kept, text_sha256: one row for each input row."""
-    rows = docs.select(docs[id_col].alias("doc_id"), F.sha2(ascii_lower(text_of(docs, text_col)).cast("binary"), 256).alias("key"))
+    rows = docs.select(docs[id_col].alias("doc_id"), _hash_of(docs, text_col).alias("key"))
     rows = stored(rows, "exact-keys")  # texts are read and hashed once; all that follows works on ids and hashes
     n = rows.count()
     cells = max(1 << 12, min(max_cells, 1 << math.ceil(math.log2(max(1, n) * CELLS_PER_ROW))))
@@ -72,6 +77,12 @@ def report(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", max_
 
 
 def drop_copies(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """The rows of docs that stay, with the columns of docs. Only ids of dropped rows meet the documents."""
-    gone = report(docs, id_col, text_col).where("not kept").select(F.col("doc_id").alias("_gone")).distinct()
-    return docs.join(gone, docs[id_col].eqNullSafe(gone["_gone"]), "left_anti").select(*[docs[c] for c in docs.columns])
+    """The rows of docs that stay, with the columns of docs. Only ids and hashes of dropped rows meet the documents; an id
+    alone doesn't tell a row, as it can be null or stand for several texts."""
+    gone = report(docs, id_col, text_col).where("not kept").select(F.col("doc_id").alias("_gone"), F.col("text_sha256").alias("_hash")).distinct()
+    own = "_own"
+    while own in {c.lower() for c in docs.columns}:
+        own += "_"
+    hashed = docs.select(*[docs[c] for c in docs.columns], _hash_of(docs, text_col).alias(own))
+    met = hashed.join(gone, hashed[id_col].eqNullSafe(gone["_gone"]) & (hashed[own] == gone["_hash"]), "left_anti")
+    return met.select(*[hashed[c] for c in docs.columns])
