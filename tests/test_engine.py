@@ -280,3 +280,22 @@ def test_get_reads_only_files_that_can_hold_the_key(spark, tmp_path):
     assert len(store.log(5, 5).inputFiles()) <= 2
     plan = store.get(5)._jdf.queryExecution().executedPlan().toString()
     assert "PushedFilters: [IsNotNull(user_key), EqualTo(user_key,5)]" in plan
+
+
+SF = "/root/testdata/sf0.001"
+
+
+def test_fence_lookup_of_every_customer(spark):
+    from tidelog import queries
+    from tidelog.sources.changelog import orders_log
+
+    fences = {}
+    for b in layout.blocks(orders_log(spark, SF)).collect():
+        fences.setdefault(b["run"], []).append((b["fence_key"], b["block"], b["min_key"]))
+    want = []
+    for (k,) in spark.read.parquet(f"{SF}/customer.parquet").select("c_custkey").collect():
+        for run, own in fences.items():
+            if met := [(block, k >= low) for fence, block, low in sorted(own) if fence >= k]:
+                want.append((k, run, *met[0]))
+    got = [tuple(r) for r in queries.kv_fence_lookup_all(spark, SF).collect()]
+    assert sorted(got) == sorted(want) and any(k % 10 for k, *_ in got)

@@ -94,6 +94,7 @@ def kv_key_order(spark, sf):
     return reads.ordered(orders_log(spark, sf)).limit(100).select("user_key", "seq_num", "write_type")
 
 
+
 # Commands
 
 
@@ -168,6 +169,12 @@ def kv_fence_lookup(spark, sf):
     return layout.fence_lookup(layout.blocks(orders_log(spark, sf)), probes)
 
 
+def kv_fence_lookup_all(spark, sf):
+    """Every customer, looked up in every run."""
+    probes = spark.read.parquet(f"{sf}/customer.parquet").select(F.col("c_custkey").alias("key"))
+    return layout.fence_lookup(layout.blocks(orders_log(spark, sf)), probes)
+
+
 def kv_visible_counts(spark, sf):
     return layout.key_counts(orders_log(spark, sf))
 
@@ -325,6 +332,13 @@ select count(*) filter (where op = 'p') as puts,
         kv_fence_lookup,
         f"""with {ORD}, {_RUNS}, {_BLOCKS},
 hits as (select c_custkey as key, run, min(block) as block from customer join blocks on fence_key >= c_custkey where c_custkey % 10 = 0 group by 1, 2)
+select key, h.run, h.block, key >= min_key as may_hold from hits h join blocks b on h.run = b.run and h.block = b.block""",
+    ),
+    (
+        "kv_fence_lookup_all",
+        kv_fence_lookup_all,
+        f"""with {ORD}, {_RUNS}, {_BLOCKS},
+hits as (select c_custkey as key, run, min(block) as block from customer join blocks on fence_key >= c_custkey group by 1, 2)
 select key, h.run, h.block, key >= min_key as may_hold from hits h join blocks b on h.run = b.run and h.block = b.block""",
     ),
     ("kv_visible_counts", kv_visible_counts, f"with {ORD}, d as (select k, count(*) as n, max_by(del, seq) as gone from ord group by k) select cast(sum(n) as bigint) as versions, count(*) as all_keys, count(*) filter (where not gone) as visible_keys from d"),
