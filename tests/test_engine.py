@@ -299,3 +299,12 @@ def test_fence_lookup_of_every_customer(spark):
                 want.append((k, run, *met[0]))
     got = [tuple(r) for r in queries.kv_fence_lookup_all(spark, SF).collect()]
     assert sorted(got) == sorted(want) and any(k % 10 for k, *_ in got)
+
+
+def test_key_order_of_the_whole_log(spark):
+    from tidelog import queries
+    from tidelog.sources.changelog import orders_log
+
+    rows = [(r["user_key"], r["seq_num"], r["write_type"]) for r in orders_log(spark, SF).collect()]
+    want = [(*r, i) for i, r in enumerate(sorted(rows, key=lambda r: (r[0], -r[1])))]
+    assert len(want) > 100 and [tuple(r) for r in queries.kv_key_order_all(spark, SF).collect()] == want

@@ -11,6 +11,8 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from tidelog.functions.keys import key_order
+from tidelog.functions.ranks import with_rank
 from tidelog.operators import compaction, layout, reads, replay
 from tidelog.plans.scratch import scratch_path
 from tidelog.plans.store import Store
@@ -94,6 +96,10 @@ def kv_key_order(spark, sf):
     return reads.ordered(orders_log(spark, sf)).limit(100).select("user_key", "seq_num", "write_type")
 
 
+def kv_key_order_all(spark, sf):
+    """The whole log in its order, each row with its place in it."""
+    return reads.ordered(with_rank(orders_log(spark, sf), key_order())).select("user_key", "seq_num", "write_type", "rank")
+
 
 # Commands
 
@@ -294,6 +300,7 @@ ALL: list[tuple[str, Query, str | None]] = [
     ("kv_as_of", kv_as_of, f"with {ORD} {_OUT}{_visible('ord', 'seq < 1000')}"),
     ("kv_versions", kv_versions, f"with {EV} select k as key, seq as seq_num, case when del then 'D' else 'P' end as write_type, lead(seq) over (partition by k order by seq) as valid_to, v as val from ev"),
     ("kv_key_order", kv_key_order, f"with {ORD} select k as user_key, seq as seq_num, case when del then 'D' else 'P' end as write_type from ord order by k, seq desc limit 100"),
+    ("kv_key_order_all", kv_key_order_all, f"with {ORD} select k as user_key, seq as seq_num, case when del then 'D' else 'P' end as write_type, row_number() over (order by k, seq desc) - 1 as rank from ord"),
     (
         "kv_parse",
         kv_parse,
