@@ -249,6 +249,31 @@ def test_near_family(spark, monkeypatch):
     assert near_got(near_dedup.report(d)) == brute.near(made)
 
 
+def test_near_at_the_threshold(spark):
+    """Pairs at 0.75 exactly, whose signatures agree in 78 or 79 of 128 coordinates."""
+    made = []
+    for i, seed in enumerate((204, 630, 1180)):
+        r = random.Random(seed)
+        head, *ends = ([f"w{r.randrange(10**6)}" for _ in range(n)] for n in (604, 100, 100))
+        made += [(2 * i + k, " ".join(head + end)) for k, end in enumerate(ends)]
+    want = brute.near(made)
+    assert [v[1] for _, v in sorted(want.items())] == [0, 0, 2, 2, 4, 4]
+    assert near_got(near_dedup.report(spark.createDataFrame(made, "doc_id bigint, text string"))) == want
+
+
+def test_near_sketch_at_the_threshold(spark):
+    """Large sets at 0.75 exactly, whose sketches come out below 71 %, are still told across components."""
+    made = []
+    for i, seed in enumerate((1262, 4744, 8655)):
+        h = np.random.default_rng(seed).integers(0, 1 << 64, 10_000, dtype=np.uint64)
+        one, two = (np.sort(np.concatenate([h[:7500], h[a : a + 1250]])) for a in (7500, 8750))
+        s = near_dedup.sketches(np.concatenate([one, two]), np.array([0, 8750, 17500]))
+        made += [(i + 1, 0, 0, 2 * i + k, 2 * i + k, 8750, bytes(near_dedup.COORDINATES), s[k].tobytes(), [i + 1]) for k in range(2)]
+    open_ = spark.createDataFrame(made, "token bigint, part int, block int, rep bigint, comp bigint, n_shingles bigint, signature binary, sketch binary, tokens array<bigint>")
+    got = near_dedup._across(open_.coalesce(1).sortWithinPartitions("token", "part"), False)
+    assert sorted(map(tuple, got.collect())) == [(0, 1), (2, 3), (4, 5)]
+
+
 def test_near_edges(messy, empty):
     got = near_dedup.report(messy)
     assert got.count() == len(MESSY)
