@@ -300,12 +300,35 @@ def test_tokens(spark, rows):
     want, at = [], 0
     for i, x in sorted(rows):
         ids = [*t.encode(x, add_special_tokens=False).ids, 2]
-        want.append((i, at, len(ids), zlib.crc32(np.array(ids, "<u4").tobytes())))
+        want.append((i, at, len(ids), zlib.crc32(np.array(ids, "<u4").tobytes()), ids[len(ids) // 2]))
         at += len(ids)
     assert sorted(tuple(r) for r in queries.op7_token_store(spark, SF).collect()) == want
 
 
-PIECES = ["a", "the", " ", "  ", "\n", ",", ".", "_", "'s", "$", "é", "3", ".5", "\t", "\x00", " ", "<|endoftext|>", "漢", "́", "-", " ,", "\r\n", "b,c", "x.", "\n\n"]
+def test_token_positions(spark, docs, rows):
+    """Ids by their position over the whole store, in small segments."""
+    t = chat_format.tokenizer(queries.vocabulary())
+    ids = [i for _, x in sorted(rows) for i in [*t.encode(x, add_special_tokens=False).ids, 2]]
+    segments = token_store.write_segments(docs, queries.vocabulary(), segment_ids=700)
+    assert segments.count() > 50 and all(r["n_tokens"] <= 700 or len(r["doc_ids"]) == 1 for r in segments.select("n_tokens", "doc_ids").collect())
+    rng = random.Random(8)
+    at = sorted({0, len(ids) - 1, *(rng.randrange(len(ids)) for _ in range(3000))})
+    asked = spark.createDataFrame([(k,) for k in [*at, -1, len(ids), 10**12, None]], "position bigint")
+    for stride in (500, 1 << 18):
+        assert sorted(map(tuple, token_store.ids_at(segments, asked, stride).collect())) == [(k, ids[k]) for k in at]
+
+
+def test_other_vocabularies(spark):
+    import public_tokenizers
+
+    path = public_tokenizers.path("word_bpe_49k.json")
+    texts = ["Hello  World, it's", "", "a\nB 12"]
+    ids, n = token_store.encoder(path).encode(pa.array(texts))
+    want = [chat_format.tokenizer(path).encode(x, add_special_tokens=False).ids for x in texts]
+    assert ids.tolist() == [i for w in want for i in w] and n.tolist() == list(map(len, want))
+
+
+PIECES = ["a", "the", "$$$", "12", "'ll", "aZ9", "-a", "antidisestablishmentarianisms", "ñandú", "É", " ", "  ", "\n", ",", ".", "_", "'s", "$", "é", "3", ".5", "\t", "\x00", " ", "<|endoftext|>", "漢", "́", "-", " ,", "\r\n", "b,c", "x.", "\n\n"]
 
 
 @settings(max_examples=500, deadline=None)
@@ -316,12 +339,27 @@ def test_pieces_encode_like_the_whole(texts):
     assert ids.tolist() == [i for w in whole for i in w] and n.tolist() == list(map(len, whole))
 
 
+def test_pieces_number_each_key_once():
+    rng = np.random.default_rng(9)
+    pieces, seen = token_store.Pieces(16), {}
+    for _ in range(40):
+        keys = rng.integers(0, 4, (rng.integers(0, 60), 3)).astype(np.uint64)
+        got, new = pieces.find(keys, len(seen))
+        for k in new.tolist():
+            seen[tuple(keys[k].tolist())] = len(seen)
+        assert len(set(seen.values())) == len(seen) and got.tolist() == [seen[tuple(x)] for x in keys.tolist()]
+
+
 def test_codes():
     rng = np.random.default_rng(5)
     for n in (0, 1, 511, 512, 513, 4000):
         x = rng.integers(0, 1 << 32, n).astype(np.uint32) >> rng.integers(0, 32, n).astype(np.uint32)
         c = token_store.Codes(token_store.pack(x))
         assert len(c) == n and (c.all() == x).all() and [c[i] for i in range(n)] == x.tolist()
+        some = rng.integers(0, n, 2 * n) if n else np.zeros(0, np.int64)
+        assert (c.at(some) == x[some]).all()
+    with pytest.raises(IndexError):
+        c.at(np.array([4000]))
     with pytest.raises(IndexError):
         c[4000]
     with pytest.raises(ValueError):
