@@ -267,11 +267,45 @@ def test_near_sketch_at_the_threshold(spark):
     for i, seed in enumerate((1262, 4744, 8655)):
         h = np.random.default_rng(seed).integers(0, 1 << 64, 10_000, dtype=np.uint64)
         one, two = (np.sort(np.concatenate([h[:7500], h[a : a + 1250]])) for a in (7500, 8750))
-        s = near_dedup.sketches(np.concatenate([one, two]), np.array([0, 8750, 17500]))
-        made += [(i + 1, 0, 0, 2 * i + k, 2 * i + k, 8750, bytes(near_dedup.COORDINATES), s[k].tobytes(), [i + 1]) for k in range(2)]
-    open_ = spark.createDataFrame(made, "token bigint, part int, block int, rep bigint, comp bigint, n_shingles bigint, signature binary, sketch binary, tokens array<bigint>")
+        s = near_dedup.contents(np.concatenate([one, two]), np.array([0, 8750, 17500])).to_pylist()
+        made += [(i + 1, 0, 0, 2 * i + k, 2 * i + k, 8750, bytes(near_dedup.COORDINATES), s[k], [7 << 32 | i + 1], 7 << 32 | i + 1) for k in range(2)]
+    open_ = spark.createDataFrame(made, "token bigint, part int, block int, rep bigint, comp bigint, n_shingles bigint, signature binary, content binary, places array<bigint>, place bigint")
     got = near_dedup._across(open_.coalesce(1).sortWithinPartitions("token", "part"), False)
-    assert sorted(map(tuple, got.collect())) == [(0, 1), (2, 3), (4, 5)]
+    assert sorted(map(tuple, got.collect())) == [(0, 1, False), (2, 3, False), (4, 5, False)]
+
+
+def test_near_contents():
+    """What sets share by 32 bits of their hashes, and sketches of small sets next to large ones."""
+    rng = np.random.default_rng(3)
+    pool = rng.integers(0, 1 << 64, 1000, dtype=np.uint64)
+    sets = [np.sort(rng.choice(pool, k, replace=False)) for k in (0, 1, 100, 300, 511, 512, 513, 900)]
+    heads = np.concatenate([[0], np.cumsum([len(s) for s in sets])])
+    column = near_dedup.contents(np.concatenate(sets), heads)
+    c = near_dedup.Contents(pa.chunked_array([column]), np.diff(heads))
+    x, y = np.array([(i, j) for i in range(6) for j in range(6)]).T
+    assert c.shared(x, y).tolist() == [len(np.intersect1d(sets[i], sets[j])) for i, j in zip(x, y, strict=True)]
+    for i, j in ((5, 6), (4, 7), (6, 7)):
+        both = len(np.intersect1d(sets[i], sets[j]))
+        assert abs(c.likeness(np.array([i]), np.array([j]))[0] - 100 * both / (len(sets[i]) + len(sets[j]) - both)) < 8
+
+
+def test_near_pairs_stay_few(spark):
+    """Of a family whose members are just more or just less alike than the threshold, only joining links are told."""
+    rng = random.Random(11)
+    base = [f"b{k}" for k in range(150)]
+    made = []
+    for i in range(260):
+        w = list(base)
+        for _ in range(2):
+            w[rng.randrange(150)] = f"x{rng.randrange(10**6)}"
+        made.append((i, " ".join(w)))
+    d = spark.createDataFrame(made, "doc_id bigint, text string").repartition(3)
+    sigs = near_dedup.signatures(d)
+    reps = sigs.withColumn("rep", F.col("doc_id"))
+    posts = near_dedup._postings(reps)
+    open_ = near_dedup._open_postings(posts, spark.createDataFrame([], "node bigint, component bigint"), reps, d, False)
+    told = near_dedup._across(open_.coalesce(1).sortWithinPartitions("token", "part"), False).collect()
+    assert 100 < len({(r["a"], r["b"]) for r in told if r["sure"]}) < 2600
 
 
 def test_near_edges(messy, empty):

@@ -11,15 +11,17 @@ first POSTED coordinates.
   that agree are confirmed on the full sets (100 * intersection >= THRESHOLD * union), and the confirmed links make
   components.
 - Then the postings that still hold several components, without their centres, are merged, but only across components
-  and between sets of matching size: once for the most alike partner of each text, whose links are confirmed first, and
-  once fully. So no link between different texts is lost, and the members of a
-  large group of near copies aren't paired with each other. A posting of more than BLOCK texts is merged in pairs of
-  blocks. As many texts can be just less alike than the threshold, these pairs must also agree by a finer sketch
-  (the least shingle of each of SKETCH bins) before they are confirmed.
+  and between sets of matching size. Sets of up to EXACT shingles are at hand there, with 32 bits of each shingle's hash,
+  which tells every pair but those at the very threshold; of the links found in a posting only those that join two of its
+  components are written. So no link between different texts is lost, neither the members of a large group of near copies
+  nor texts that are just less alike than the threshold are written in pairs. Larger sets must agree by a finer sketch (the
+  least shingle of each of SKETCH bins) and are confirmed on the full sets: the most alike partner of each text first.
+- A posting of more than BLOCK texts is merged in pairs of blocks. All its pairs across components are compared by their
+  signatures, so a posting of n such texts still costs n * n / 2 comparisons of 128 bytes.
 
 A pair at the threshold passes three filters before it is confirmed, and is missed by one of them only if no chain of
 other links joins the two: with a probability of about 3.3e-4 by the posted coordinates and 3.5e-5 by the agreement of
-all (binomial tails), and, across components, by the sketch (in none of 20,000 drawn pairs of large sets).
+all (binomial tails), and, across components and between large sets, by the sketch (in none of 20,000 drawn pairs).
 
 Defined results
 ---------------
@@ -40,19 +42,24 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from .common import Words, batch_of, binaries, components, mix, passes, stored, text_of
+from .common import Words, batch_of, binaries, components, mix, passes, spans, stored, text_of
 
 K = 5
 THRESHOLD = 75
 COORDINATES, AGREE = 128, 76
 POSTED, MATCHES = 64, 36
 PREFIX = POSTED - MATCHES + 1
-BLOCK = 4096
+#: Texts of one block of a hot posting: as many, or a SPREADth of the posting up to MOST_BLOCK.
+BLOCK, SPREAD, MOST_BLOCK = 4096, 64, 16384
+#: Sets that are compared where postings are merged, and by how many shared shingles a pair must pass to need no
+#: confirmation: equal halves of different hashes can only add to what two sets share.
+EXACT, SURE = 512, 2
 #: Bins of the finer sketch, and the estimated similarity in percent from which a pair is confirmed. The estimate's
 #: standard error is 1.4 points at most.
 SKETCH, SKETCH_PERCENT = 1024, 68
-#: Bits of the filter that keeps the sets of texts without candidates from being dealt; it has this size at any input.
-FILTER_BITS = 1 << 23
+#: The filter that keeps the sets of texts without candidates from being dealt has FILTER_PER_ID bits for each candidate, in
+#: all MAX_FILTER_BITS at most (32 MiB are broadcast); beyond that, more sets are dealt and met by the join.
+FILTER_PER_ID, MAX_FILTER_BITS = 16, 1 << 28
 
 _rng = np.random.default_rng(20240607)
 _FACTORS = _rng.integers(0, 1 << 63, COORDINATES, dtype=np.uint64) * np.uint64(2) + np.uint64(1)
@@ -109,7 +116,8 @@ def _matrix(column: pa.Array, kind, width: int) -> np.ndarray:
 
 
 def _postings(reps: DataFrame) -> DataFrame:
-    """(rep, token): the prefix of each representative's postings, without those that nobody shares."""
+    """(rep, token, place): the prefix of each representative's postings, without those that nobody shares. place is the
+    coordinate and 32 bits of the token."""
     schema = pa.schema([("rep", pa.int64()), ("tokens", pa.list_(pa.int64()))])
     salts = np.arange(POSTED, dtype=np.uint64) << np.uint64(32)
 
@@ -118,12 +126,12 @@ def _postings(reps: DataFrame) -> DataFrame:
             t = mix(_matrix(b.column(1), "<u4", POSTED).astype(np.uint64) | salts).view(np.int64)
             yield batch_of(schema, b.column(0), pa.ListArray.from_arrays(pa.array(np.arange(len(t) + 1, dtype=np.int32) * POSTED), pa.array(t.ravel())))
 
-    posts = reps.select("rep", "posted").mapInArrow(run, "rep bigint, tokens array<bigint>").select("rep", F.explode("tokens").alias("token"))
+    posts = reps.select("rep", "posted").mapInArrow(run, "rep bigint, tokens array<bigint>").select("rep", F.posexplode("tokens").alias("coordinate", "token"))
     shared = posts.groupBy("token").agg(F.count("*").alias("n")).where("n > 1")
     met = posts.join(shared, "token")
     w = Window.partitionBy("rep")
     ranked = met.withColumn("k", F.row_number().over(w.orderBy("n", "token"))).withColumn("all", F.count("*").over(w))
-    return ranked.where(F.col("k") + POSTED - F.col("all") <= PREFIX).select("rep", "token")
+    return ranked.where(F.col("k") + POSTED - F.col("all") <= PREFIX).select("rep", "token", F.expr("shiftleft(cast(coordinate as bigint), 32) | greatest(token & 4294967295L, 1L)").alias("place"))
 
 
 def _agreeing(pairs: DataFrame, reps: DataFrame) -> DataFrame:
@@ -143,17 +151,76 @@ def _agreeing(pairs: DataFrame, reps: DataFrame) -> DataFrame:
 
 
 def sketches(h: np.ndarray, heads: np.ndarray) -> np.ndarray:
-    """Per text one byte for each bin: of its least shingle hash there, 0 if it has none. h ascends within texts."""
-    shift = np.uint64(64 - SKETCH.bit_length() + 1)
+    """Per text one byte for each bin: of its least shingle hash there, 0 if it has none. h has 32 bits of each hash and
+    ascends within texts."""
+    shift = np.uint32(32 - SKETCH.bit_length() + 1)
     text = np.repeat(np.arange(len(heads) - 1), np.diff(heads))
     cell = text * SKETCH + (h >> shift).astype(np.int64)
     first = np.ones(len(h), bool)
     first[1:] = cell[1:] != cell[:-1]
     out = np.zeros((len(heads) - 1) * SKETCH, np.uint8)
-    out[cell[first]] = 1 + (mix(h[first], 9) % np.uint64(255)).astype(np.uint8)
+    out[cell[first]] = 1 + (mix(h[first].astype(np.uint64), 9) % np.uint64(255)).astype(np.uint8)
     return out.reshape(-1, SKETCH)
 
 
+def contents(h: np.ndarray, heads: np.ndarray) -> pa.Array:
+    """What is compared across components: 32 bits of each hash of a set of up to EXACT, or the sketch of a larger one."""
+    h = (h >> np.uint64(32)).astype("<u4")
+    n = np.diff(heads)
+    size = np.where(n <= EXACT, 4 * n, SKETCH)
+    ends = np.concatenate([[0], np.cumsum(size)])
+    out = np.empty(int(ends[-1]), np.uint8)
+    small, large = np.flatnonzero(n <= EXACT), np.flatnonzero(n > EXACT)
+    out[spans(ends[small], size[small])] = h[spans(heads[small], n[small])].view(np.uint8)
+    out[spans(ends[large], size[large])] = sketches(h[spans(heads[large], n[large])], np.concatenate([[0], np.cumsum(n[large])])).ravel()
+    return binaries(out, ends)
+
+
+class Contents:
+    """The contents of several texts with n shingles each."""
+
+    def __init__(self, column: pa.ChunkedArray, n: np.ndarray):
+        data = column.to_pylist()
+        self.small = n <= EXACT
+        small = [x for x, k in zip(data, self.small.tolist(), strict=True) if k]
+        self.h = np.frombuffer(b"".join(small), "<u4")
+        self.n = np.where(self.small, n, 0)
+        self.heads = np.concatenate([[0], np.cumsum(self.n)])
+        self.row = np.cumsum(~self.small) - 1
+        self.sketch = np.frombuffer(b"".join(x for x, k in zip(data, self.small.tolist(), strict=True) if not k), np.uint8).reshape(-1, SKETCH)
+
+    def shared(self, x: np.ndarray, y: np.ndarray) -> np.ndarray:
+        """How many values the small sets x[k] and y[k] share."""
+        out = np.zeros(len(x), np.int64)
+        size = np.cumsum(self.n[x] + self.n[y])
+        at = 0
+        while at < len(x):
+            end = max(at + 1, int(np.searchsorted(size, (size[at - 1] if at else 0) + (1 << 20), side="right")))
+            one, other = x[at:end], y[at:end]
+            pair = np.concatenate([np.repeat(np.arange(end - at), self.n[one]), np.repeat(np.arange(end - at), self.n[other])])
+            keys = (pair.astype(np.uint64) << np.uint64(32)) | np.concatenate([self.h[spans(self.heads[one], self.n[one])], self.h[spans(self.heads[other], self.n[other])]])
+            keys.sort()
+            out[at:end] = np.bincount((keys[1:][keys[1:] == keys[:-1]] >> np.uint64(32)).astype(np.int64), minlength=end - at)
+            at = end
+        return out
+
+    def _sketched(self, x: np.ndarray) -> np.ndarray:
+        out = np.zeros((len(x), SKETCH), np.uint8)
+        small = self.small[x]
+        out[~small] = self.sketch[self.row[x[~small]]]
+        own = x[small]
+        out[small] = sketches(self.h[spans(self.heads[own], self.n[own])], np.concatenate([[0], np.cumsum(self.n[own])]))
+        return out
+
+    def likeness(self, x: np.ndarray, y: np.ndarray) -> np.ndarray:
+        """The similarity of x[k] and y[k] by their sketches, in percent."""
+        out = np.zeros(len(x))
+        for m in range(0, len(x), 1 << 12):
+            u, v = self._sketched(x[m : m + (1 << 12)]), self._sketched(y[m : m + (1 << 12)])
+            out[m : m + (1 << 12)] = 100 * ((u == v) & (u > 0)).sum(1) / ((u | v) > 0).sum(1)
+        return out
+
+
 def _best(i: np.ndarray, j: np.ndarray, likeness: np.ndarray) -> np.ndarray:
     """Which pairs are the best of one of their two ends."""
     ends, at = np.concatenate([i, j]), np.tile(np.arange(len(i)), 2)
@@ -165,56 +232,98 @@ def _best(i: np.ndarray, j: np.ndarray, likeness: np.ndarray) -> np.ndarray:
     return out
 
 
-def _across(open_: DataFrame, best: bool) -> DataFrame:
-    """(a, b): all pairs of one posting with different components that agree. A pair that shares several postings is
-    told by the one with the smallest token; where one of the two is that posting's centre, the star has told it.
-    best: only the most alike pair of each text, of those that are looked at together.
+def _joining(comp: np.ndarray, i: np.ndarray, j: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Which links (i, j) join two components of comp, one after the other, and comp with those joined."""
+    names, at = np.unique(comp, return_inverse=True)
+    parent = list(range(len(names)))
 
-    open_ has (token, part, block, rep, comp, n_shingles, signature, sketch, tokens); a group is (token, part), sorted, and pairs within one block of a mixed part are
-    left to the part of that block alone."""
-    schema = pa.schema([("a", pa.int64()), ("b", pa.int64())])
+    def root(k: int) -> int:
+        while parent[k] != k:
+            parent[k] = parent[parent[k]]
+            k = parent[k]
+        return k
+
+    out = np.zeros(len(i), bool)
+    for k, (a, b) in enumerate(zip(at[i].tolist(), at[j].tolist(), strict=True)):
+        a, b = root(a), root(b)
+        if a != b:
+            parent[max(a, b)] = min(a, b)
+            out[k] = True
+    return out, names[[root(k) for k in range(len(names))]][at]
+
+
+ACROSS = "a bigint, b bigint, sure boolean"
+
+
+def _across(open_: DataFrame, best: bool) -> DataFrame:
+    """(a, b, sure): pairs of one posting with different components that agree: links that join two components (sure), and
+    pairs to be confirmed. A pair that shares several postings is told by the one with the least coordinate; where one of
+    the two is that posting's centre, the star has told it. best: of the pairs to be confirmed only the most alike of
+    each text, of those that are looked at together.
+
+    open_ has (token, part, block, rep, comp, n_shingles, signature, content, places, place); a group is (token, part),
+    sorted, and pairs within one block of a mixed part are left to the part of that block alone."""
+    schema = pa.schema([("a", pa.int64()), ("b", pa.int64()), ("sure", pa.bool_())])
     most = 1 << 19
 
-    def pairs_of(group: np.ndarray, token, mixed, block, rep, comp, n, sig, sketch, own) -> Iterator[pa.RecordBatch]:
+    def pairs_of(group: np.ndarray, coordinate, mixed, block, rep, comp, n, sig, content: Contents, own) -> Iterator[pa.RecordBatch]:
         size = np.bincount(group)
         place = np.arange(len(group)) - np.repeat(np.cumsum(size) - size, size)
         after = size[group] - 1 - place
         edges = np.concatenate([[0], np.cumsum(after)])
+
+        def told(i: np.ndarray, j: np.ndarray, sure: bool) -> pa.RecordBatch:
+            return batch_of(schema, np.minimum(rep[i], rep[j]), np.maximum(rep[i], rep[j]), pa.repeat(sure, len(i)))
+
         at = 0
         while at < len(group):
             end = max(at + 1, int(np.searchsorted(edges, edges[at] + most, side="right")) - 1)
             cnt = after[at:end]
             a = np.repeat(np.arange(at, end), cnt)
             b = a + 1 + np.arange(len(a)) - np.repeat(np.cumsum(cnt) - cnt, cnt)
-            told: list[tuple[np.ndarray, np.ndarray, np.ndarray]] = []
+            open_pairs: list[tuple[np.ndarray, np.ndarray, np.ndarray]] = []
             fit = (comp[a] != comp[b]) & (100 * np.minimum(n[a], n[b]) >= THRESHOLD * np.maximum(n[a], n[b])) & ~(mixed[a] & (block[a] == block[b]))
             a, b = a[fit], b[fit]
             for k in range(0, len(a), 1 << 15):
                 x, y = a[k : k + (1 << 15)], b[k : k + (1 << 15)]
-                good = (sig[x] == sig[y]).sum(1) >= AGREE
-                x, y = x[good], y[good]
-                for m in range(0, len(x), 1 << 12):
-                    u, v = sketch[x[m : m + (1 << 12)]], sketch[y[m : m + (1 << 12)]]
-                    full = ((u | v) > 0).sum(1)
-                    same = ((u == v) & (u > 0)).sum(1)
-                    near = 100 * same >= SKETCH_PERCENT * full
-                    i, j = x[m : m + (1 << 12)][near], y[m : m + (1 << 12)][near]
-                    both = ((own[i][:, :, None] == own[j][:, None, :]) & (own[i] != 0)[:, :, None]).any(2)
-                    here = np.where(both, own[i], np.iinfo(np.int64).max).min(1) == token[i]
-                    told.append((i[here], j[here], (same[near] / full[near])[here]))
-            if told:
-                i, j, likeness = (np.concatenate(t) for t in zip(*told, strict=True))
+                keep = comp[x] != comp[y]
+                x, y = x[keep], y[keep]
+                keep = (sig[x] == sig[y]).sum(1) >= AGREE
+                x, y = x[keep], y[keep]
+                keep = ((own[x] == own[y]) & (own[x] != 0)).argmax(1) == coordinate[x]
+                x, y = x[keep], y[keep]
+                exact = content.small[x] & content.small[y]
+                i, j = x[exact], y[exact]
+                same = content.shared(i, j)
+                link = lambda s, i=i, j=j: 100 * s >= THRESHOLD * (n[i] + n[j] - s)
+                sure = link(same - SURE)
+                near = link(same) & ~sure
+                open_pairs.append((i[near], j[near], np.full(int(near.sum()), 100.0)))
+                i, j = i[sure], j[sure]
+                if len(i):
+                    joins, comp = _joining(comp, i, j)
+                    yield told(i[joins], j[joins], True)
+                i, j = x[~exact], y[~exact]
+                if len(i):
+                    likeness = content.likeness(i, j)
+                    near = likeness >= SKETCH_PERCENT
+                    open_pairs.append((i[near], j[near], likeness[near]))
+            if open_pairs:
+                i, j, likeness = (np.concatenate(t) for t in zip(*open_pairs, strict=True))
+                keep = comp[i] != comp[j]
+                i, j, likeness = i[keep], j[keep], likeness[keep]
                 if best and len(i):
                     keep = _best(i, j, likeness)
                     i, j = i[keep], j[keep]
                 if len(i):
-                    yield batch_of(schema, np.minimum(rep[i], rep[j]), np.maximum(rep[i], rep[j]))
+                    yield told(i, j, False)
             at = end
 
-    def padded(tokens: pa.ChunkedArray) -> np.ndarray:
-        length = np.concatenate([c.value_lengths().to_numpy() for c in tokens.chunks]).astype(np.int64)
-        out = np.zeros((len(length), PREFIX), np.int64)
-        out[np.repeat(np.arange(len(length)), length), np.arange(int(length.sum())) - np.repeat(np.cumsum(length) - length, length)] = np.concatenate([c.flatten().to_numpy() for c in tokens.chunks])
+    def by_coordinate(places: pa.ChunkedArray) -> np.ndarray:
+        out = np.zeros((len(places), POSTED), np.uint32)
+        length = np.concatenate([c.value_lengths().to_numpy() for c in places.chunks]).astype(np.int64)
+        flat = np.concatenate([c.flatten().to_numpy() for c in places.chunks])
+        out[np.repeat(np.arange(len(length)), length), flat >> 32] = flat & 0xFFFFFFFF
         return out
 
     def run(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -224,7 +333,7 @@ def _across(open_: DataFrame, best: bool) -> DataFrame:
             if t.num_rows > 1:
                 token, part, block, rep, comp, n = (t.column(k).to_numpy() for k in range(6))
                 new = np.concatenate([[False], (token[1:] != token[:-1]) | (part[1:] != part[:-1])])
-                yield from pairs_of(np.cumsum(new), token, part < 0, block, rep, comp, n, _matrix(t.column(6), np.uint8, COORDINATES), _matrix(t.column(7), np.uint8, SKETCH), padded(t.column(8)))
+                yield from pairs_of(np.cumsum(new), t.column(9).to_numpy() >> 32, part < 0, block, rep, comp, n, _matrix(t.column(6), np.uint8, COORDINATES), Contents(t.column(7), n), by_coordinate(t.column(8)))
 
         for b in batches:
             kept.append(b)
@@ -237,14 +346,15 @@ def _across(open_: DataFrame, best: bool) -> DataFrame:
         if kept:
             yield from work(pa.Table.from_batches(kept))
 
-    return open_.select("token", "part", "block", "rep", "comp", "n_shingles", "signature", "sketch", "tokens").mapInArrow(run, "a bigint, b bigint")
+    return open_.select("token", "part", "block", "rep", "comp", "n_shingles", "signature", "content", "places", "place").mapInArrow(run, ACROSS)
 
 
 def _filter_words(ids: DataFrame) -> np.ndarray:
-    """A bit table of the ids, FILTER_BITS in all: only its words, a bounded number, reach the driver."""
-    cell = ids.select(F.pmod(F.col("rep"), F.lit(FILTER_BITS)).alias("c"))
+    """A bit table of the ids: only its words, a bounded number, reach the driver."""
+    size = 1 << min(MAX_FILTER_BITS.bit_length() - 1, max(12, (FILTER_PER_ID * ids.count()).bit_length()))
+    cell = ids.select(F.pmod(F.col("rep"), F.lit(size)).alias("c"))
     t = cell.groupBy(F.expr("c div 64").alias("w")).agg(F.expr("bit_or(shiftleft(1L, cast(c % 64 as int)))").alias("m")).toArrow()
-    out = np.zeros(FILTER_BITS // 64, np.int64)
+    out = np.zeros(size // 64, np.int64)
     out[t.column("w").to_numpy()] = t.column("m").to_numpy()
     return out.view(np.uint64)
 
@@ -257,7 +367,7 @@ def _of(docs: DataFrame, ids: DataFrame, repeated: bool, name: str, make: Callab
     def run(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         bits = table.value
         for b in batches:
-            cell = b.column(0).to_numpy(zero_copy_only=False) % FILTER_BITS
+            cell = b.column(0).to_numpy(zero_copy_only=False) % (64 * len(bits))
             b = b.filter(pa.array((bits[cell >> 6] >> (cell & 63).astype(np.uint64) & np.uint64(1)).astype(bool)))
             for i, j, data, offs in passes(b.column(1)):
                 yield batch_of(schema, b.column(0).slice(i, j - i), make(*distinct_shingles(data, offs)))
@@ -272,10 +382,6 @@ def _sets(docs: DataFrame, ids: DataFrame, repeated: bool) -> DataFrame:
     return stored(_of(docs, ids, repeated, "shingles", lambda h, heads: binaries(h, heads * 8)), "near-sets", "none")
 
 
-def _sketches(docs: DataFrame, ids: DataFrame, repeated: bool) -> DataFrame:
-    return _of(docs, ids, repeated, "sketch", lambda h, heads: binaries(sketches(h, heads), np.arange(len(heads)) * SKETCH))
-
-
 def _confirmed(pairs: DataFrame, sets: DataFrame) -> DataFrame:
     """The pairs whose full sets meet the threshold."""
     schema = pa.schema([("a", pa.int64()), ("b", pa.int64())])
@@ -304,13 +410,14 @@ def _links(pairs: DataFrame, docs: DataFrame, repeated: bool) -> DataFrame:
 
 def _open_postings(posts: DataFrame, comps: DataFrame, reps: DataFrame, docs: DataFrame, repeated: bool) -> DataFrame:
     """What `_across` reads: the postings with several components, without their centres, dealt and sorted."""
-    held = posts.join(comps, F.col("rep") == F.col("node"), "left").select("token", "rep", F.coalesce("component", "rep").alias("comp"))
+    held = posts.join(comps, F.col("rep") == F.col("node"), "left").select("token", "place", "rep", F.coalesce("component", "rep").alias("comp"))
     lists = held.groupBy("token").agg(F.min("rep").alias("centre"), F.min("comp").alias("lo"), F.max("comp").alias("hi"), F.count("*").alias("n"))
-    lists = lists.where("lo < hi and n > 2").select("token", "centre", F.ceil((F.col("n") - 1) / BLOCK).cast("int").alias("blocks"))
-    rest = stored(held.join(lists, "token").where("rep <> centre").select("token", "rep", "comp", "blocks"), "near-open")
+    block_size = F.least(F.greatest(F.lit(BLOCK), F.col("n") / SPREAD), F.lit(max(BLOCK, MOST_BLOCK)))
+    lists = lists.where("lo < hi and n > 2").select("token", "centre", F.ceil((F.col("n") - 1) / block_size).cast("int").alias("blocks"))
+    rest = stored(held.join(lists, "token").where("rep <> centre").select("token", "place", "rep", "comp", "blocks"), "near-open")
     ids = rest.select("rep").distinct()
-    finer = _sketches(docs, ids, repeated)
-    own = posts.join(ids, "rep", "left_semi").groupBy("rep").agg(F.collect_list("token").alias("tokens"))
+    finer = _of(docs, ids, repeated, "content", contents)
+    own = posts.join(ids, "rep", "left_semi").groupBy("rep").agg(F.collect_list("place").alias("places"))
     rest = rest.join(reps.select("rep", "n_shingles", "signature"), "rep").join(finer, "rep").join(own, "rep")
     block = F.pmod(F.xxhash64("rep"), F.col("blocks")).cast("int")
     # Parts 0, 1, ... hold one block each; a negative part holds two, whose own pairs are skipped there.
@@ -337,7 +444,9 @@ def report(docs: DataFrame) -> DataFrame:
         again = stored(_across(_open_postings(posts, comps, reps, docs, repeated), best).distinct(), "near-across")
         if not again.take(1):
             break
-        links = links.unionByName(_links(again, docs, repeated))
+        links = links.unionByName(again.where("sure").select("a", "b"))
+        if (open_ := again.where("not sure").select("a", "b").distinct()).take(1):
+            links = links.unionByName(_links(open_, docs, repeated))
         comps = components(links)
 
     named = reps.select(*key, "rep").join(comps, F.col("rep") == F.col("node"), "left").select(*key, F.coalesce("component", "rep").alias("comp"))
