@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import hashlib
+import math
 import re
 from collections import Counter, defaultdict
 
@@ -114,3 +115,21 @@ def licenses(text: str, phrases: dict[str, str]) -> tuple:
         at += hits
         labels |= {label} if hits else set()
     return len(w), len(at), min(at, default=None), max(at, default=None), ",".join(sorted(labels))
+
+
+def importance(rows: list[tuple[int, str]], good: set[int], bucket, smoothing: float, z: float) -> dict[int, float]:
+    """Log weights by words and pairs, each document's own counts left out."""
+    own = {i: Counter(bucket(g) for n in (1, 2) for g in zip(*(words(t)[k:] for k in range(n)), strict=False)) for i, t in rows}
+    raw, target = Counter(), Counter()
+    for i, c in own.items():
+        raw.update(c)
+        target.update(c if i in good else {})
+    share = sum(target.values()) / sum(raw.values())
+    out = {}
+    for i, c in own.items():
+        out[i] = 0.0
+        for g, n in c.items():
+            t, e = target[g] - n * (i in good), share * (raw[g] - n)
+            if abs(t - e) > z * math.sqrt(e + 1):
+                out[i] += n * math.log((t + smoothing) / (e + smoothing))
+    return out
