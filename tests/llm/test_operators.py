@@ -3,7 +3,9 @@
 from __future__ import annotations
 
 import hashlib
+import math
 import random
+import time
 import zlib
 
 import numpy as np
@@ -71,6 +73,16 @@ def test_best_fit_is_the_plain_one():
         assert packing.best_fit(bits, 60)[0] == brute.best_fit(pieces, 60)
 
 
+def test_best_fit_of_many_small_pieces():
+    """Bins that hold a piece's source, or all sources, are not looked at one by one."""
+    start = time.process_time()
+    bins = packing.best_fit([(1, 1 << k % 20, 0) for k in range(20_000)], 2048)[0]
+    assert max(bins) + 1 == 1000
+    bins = packing.best_fit([(1, 1, 1 << k % 3 if k % 2 else 0) for k in range(10_000)] + [(1, 0, 0)] * 10_000, 2048)[0]
+    assert max(bins) + 1 == 10_000
+    assert time.process_time() - start < 20
+
+
 def check_bins(docs, places, capacity):
     """No bin overflows or conflicts, and each document's pieces tile it."""
     info = {}
@@ -101,6 +113,9 @@ def test_packing(docs, messy, empty):
     assert len(bins) < docs.count()
     small = packing.pack(docs, capacity=300, shard_tokens=20_000).collect()
     check_bins(docs, small, 300)
+    few = packing.pack(docs, shard_docs=30).collect()
+    check_bins(docs, few, packing.CAPACITY)
+    assert len({p["bin_id"].split("-")[0] for p in few}) > 4
     check_bins(messy, packing.pack(messy).collect(), packing.CAPACITY)
     assert packing.pack(empty).count() == 0
 
@@ -149,17 +164,43 @@ def test_chat_edges(spark):
 # 3
 
 
-def test_quality_on_held_out_labels(spark):
-    d = spark.read.parquet("/root/testdata/sf0.1/documents.parquet")
-    labels = spark.read.parquet("/root/testdata/sf0.1/labels.parquet")
+def held_out(spark, sf):
+    """Kept shares of the labelled documents with odd ids, trained on the labels of the even ones."""
+    d, labels = (spark.read.parquet(f"{sf}/{t}.parquet") for t in ("documents", "labels"))
     got = quality.report(d, labels.where("doc_id % 2 = 0")).join(labels.where("doc_id % 2 = 1"), "doc_id")
-    rude = d.where(F.lower("text").rlike("idiot|moron|stupid|trash|scum")).select("doc_id", F.lit(1).alias("rude"))
-    r = got.join(rude, "doc_id", "left").agg(
-        F.avg(F.when((F.col("quality") == 1) & (F.col("toxic") == 0), F.col("kept").cast("int"))).alias("good"),
-        F.avg(F.when((F.col("toxic") == 1) & (F.col("rude") == 1), F.col("kept").cast("int"))).alias("toxic"),
-        F.avg(F.when(F.col("quality") == 0, F.col("kept").cast("int"))).alias("low"),
-    ).first()
-    assert r["good"] > 0.98 and r["toxic"] < 0.05 and r["low"] < 0.75
+    shares = [F.avg(F.when(c, F.col("kept").cast("int"))) for c in (F.expr("quality = 1 and toxic = 0"), F.expr("toxic = 1"), F.expr("quality = 0"))]
+    return tuple(got.agg(*shares).first())
+
+
+def test_quality_on_held_out_labels(spark):
+    good, toxic, low = held_out(spark, "/root/testdata/sf0.1")
+    assert good > 0.96 and toxic < 0.4 and low < 0.1
+    good, toxic, low = held_out(spark, "/root/testdata/sf0.01")  # 200 labels
+    assert good > low + 0.3
+
+
+def bucket_of(gram):
+    from tidelog.llm.common import Words, mix, string_buffers
+
+    w = Words(*string_buffers(pa.array([" ".join(gram)])))
+    return int(mix(w.hashes(np.zeros(1, np.int64), len(gram)), len(gram))[0] >> np.uint64(64 - quality.BUCKET_BITS))
+
+
+def test_quality_is_the_plain_one(spark, rows):
+    """Weights, keys and the sampled set; the sample is that of no threshold on the weights."""
+    labels = [(r["doc_id"], r["quality"], r["toxic"]) for r in spark.read.parquet(f"{SF}/labels.parquet").collect()]
+    good = {i for i, q, t in labels if q == 1 and t == 0}
+    want = brute.importance(rows, good, bucket_of, quality.SMOOTHING, quality.Z)
+    got = {r["doc_id"]: r for r in queries.op3_quality_classifier(spark, SF).collect()}
+    assert got.keys() == want.keys() and all(abs(got[i]["log_weight"] - w) < 1e-6 for i, w in want.items())
+    assert sum(w != 0 for w in want.values()) > 0.75 * len(want)
+    noise = {i: quality.Model(None, None, None, ()).keys(pa.array([i]), np.zeros(1))[0] for i in want}
+    k = math.ceil(len(want) * (len(good) / len(labels) + quality.SPARE))
+    top = sorted(want, key=lambda i: -(want[i] + noise[i]))[:k]
+    assert {i for i, r in got.items() if r["kept"]} == set(top)
+    assert max(want[i] for i in want if i not in top) > min(want[i] for i in top)
+    x = np.array(sorted(noise.values()))
+    assert abs(x.mean() - 0.5772) < 0.3 and abs(x.std() - 1.2825) < 0.3
 
 
 def test_quality_edges(spark, messy, empty):
@@ -167,9 +208,10 @@ def test_quality_edges(spark, messy, empty):
     r = quality.report(messy, labels)
     assert r.count() == len(MESSY) and r.where("kept is null").count() == 0
     kept = quality.keep_good(messy, labels)
-    assert kept.columns == messy.columns and kept.count() == r.where("kept").count()
+    assert kept.columns == messy.columns and kept.count() == r.where("kept").count() < len(MESSY)
     assert quality.report(empty, labels).count() == 0
     assert quality.report(messy, labels.limit(0)).where("kept").count() == len(MESSY)
+    assert quality.report(messy, labels, share=0.0).where("kept").count() == 0
 
 
 def test_kth_largest(spark):
