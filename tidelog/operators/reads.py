@@ -18,19 +18,19 @@ def _values(log: DataFrame) -> list[str]:
 def newest(log: DataFrame, as_of: int | Column | None = None) -> DataFrame:
     """The newest version of each key, deletes included.
 
-    Two aggregates on plain columns keep the plan a partial and final hash aggregation; with several or
-    variable-width values the window form needs no sort of wide rows in the aggregation buffer.
+    An aggregate with a partial step before the exchange, whatever the values' types: a key with very many versions is
+    reduced where they lie.
     """
     if as_of is not None:
         log = log.where(F.col("seq_num") < as_of)
     values = _values(log)
     plain = all(t not in ("string", "binary") and "<" not in t for c, t in log.dtypes if c in values)
-    if len(values) <= 2 and plain:
+    if len(values) <= 2 and plain:  # plain columns keep it a hash aggregation
         deleted = F.max_by(F.col("write_type") == DELETE, "seq_num").alias("_deleted")
         d = log.groupBy("user_key").agg(F.max("seq_num").alias("seq_num"), deleted, *[F.max_by(v, "seq_num").alias(v) for v in values])
         return d.withColumn("write_type", F.when(F.col("_deleted"), DELETE).otherwise("P")).select(*log.columns)
-    first = F.row_number().over(Window.partitionBy("user_key").orderBy(F.col("seq_num").desc()))
-    return log.withColumn("_n", first).where("_n = 1").select(*log.columns)
+    last = F.max_by(F.struct("seq_num", "write_type", *values), "seq_num").alias("_last")
+    return log.groupBy("user_key").agg(last).select("user_key", "_last.*").select(*log.columns)
 
 
 def snapshot(log: DataFrame, as_of: int | None = None) -> DataFrame:
@@ -90,6 +90,8 @@ def in_ranges(rows: DataFrame, key: str, ranges: DataFrame, a: str, b: str, more
     pieces = bucket_pieces(ranges, a, b)
     at = lambda k: F.floor(F.col(key).cast("bigint") / (1 << (LEVEL_BITS * k))).cast("bigint")
     keyed = rows.withColumn("_at", F.explode(F.array(*[F.struct(F.lit(k).alias("_level"), at(k).alias("_bucket")) for k in range(LEVELS + 1)]))).select(*rows.columns, "_at.*")
+    # Rows go only to the levels that ranges have pieces on; there are LEVELS + 1 at most.
+    keyed = keyed.join(F.broadcast(pieces.select("_level").distinct()), "_level", "left_semi")
     met = keyed.join(pieces, ["_level", "_bucket"]).where((F.col(key) >= F.col(a)) & (F.col(key) < F.col(b)))
     return (met.where(more) if more is not None else met).drop("_level", "_bucket")
 

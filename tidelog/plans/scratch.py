@@ -4,6 +4,8 @@ from __future__ import annotations
 
 import tempfile
 import uuid
+from collections.abc import Iterator
+from contextlib import contextmanager
 
 from pyspark.sql import DataFrame, SparkSession
 
@@ -12,9 +14,12 @@ CLEANUP = "spark.sql.classic.shuffleDependency.fileCleanup.enabled"
 
 
 def scratch_root(spark: SparkSession) -> str:
-    """The shared folder that the cluster names in spark.checkpoint.dir; a temporary one only where that is unset."""
+    """The shared folder that the cluster names in spark.checkpoint.dir; a temporary one only where that is unset and all
+    work is done on this machine."""
     root = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getConf().get("spark.checkpoint.dir")
     if not root:
+        if not spark.sparkContext.master.startswith("local[") and spark.sparkContext.master != "local":
+            raise RuntimeError("spark.checkpoint.dir names no folder that all executors share")
         root = tempfile.mkdtemp(prefix="tidelog-")
         spark.conf.set("spark.checkpoint.dir", root)
     return root.rstrip("/")
@@ -24,15 +29,37 @@ def scratch_path(spark: SparkSession, name: str) -> str:
     return f"{scratch_root(spark)}/{name}-{uuid.uuid4().hex}"
 
 
-def stored(df: DataFrame, name: str, codec: str = "zstd") -> DataFrame:
+#: Paths that the scopes now open will remove, the innermost last.
+_scopes: list[list[str]] = []
+
+
+def drop(spark: SparkSession, *paths: str) -> None:
+    for path in paths:
+        p = spark._jvm.org.apache.hadoop.fs.Path(path)
+        p.getFileSystem(spark._jsc.hadoopConfiguration()).delete(p, True)
+
+
+@contextmanager
+def scope(spark: SparkSession) -> Iterator[None]:
+    """What is `stored` inside goes at the end; results that still read it must be written before."""
+    _scopes.append([])
+    try:
+        yield
+    finally:
+        drop(spark, *_scopes.pop())
+
+
+def stored(df: DataFrame, name: str, codec: str = "zstd", outlive: bool = False) -> DataFrame:
     """df, written to the shared folder and read again: the lineage ends there, a lost executor costs no rerun, and
-    what was shuffled for it goes at once."""
+    what was shuffled for it goes at once. It lasts as long as the innermost scope, or with outlive the one around it."""
     spark = df.sparkSession
     path = scratch_path(spark, name)
-    before = spark.conf.get(CLEANUP, "false")
+    if len(_scopes) > outlive:
+        _scopes[-1 - outlive].append(path)
+    before = spark.conf.get(CLEANUP, None)
     spark.conf.set(CLEANUP, "true")
     try:
         df.write.option("compression", codec).parquet(path)
     finally:
-        spark.conf.set(CLEANUP, before)
+        spark.conf.set(CLEANUP, before) if before is not None else spark.conf.unset(CLEANUP)
     return spark.read.schema(df.schema).parquet(path)

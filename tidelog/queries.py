@@ -92,11 +92,6 @@ def kv_versions(spark, sf):
 
 
 def kv_key_order(spark, sf):
-    """The first 100 rows in the order of the log."""
-    return reads.ordered(orders_log(spark, sf)).limit(100).select("user_key", "seq_num", "write_type")
-
-
-def kv_key_order_all(spark, sf):
     """The whole log in its order, each row with its place in it."""
     return reads.ordered(with_rank(orders_log(spark, sf), key_order())).select("user_key", "seq_num", "write_type", "rank")
 
@@ -135,6 +130,13 @@ def kv_parse(spark, sf):
     return commands.parse(command_lines(spark, sf)).select("pos", "op", "a", "b", "error")
 
 
+def kv_text_workload(spark, sf):
+    """The same lines, blank ones included, written as text and read again: their places in the text and what they say."""
+    path = scratch_path(spark, "lines")
+    command_lines(spark, sf).repartitionByRange("pos").sortWithinPartitions("pos").select("line").write.text(path)
+    return commands.parse(commands.read_lines(spark, path)).select("pos", "op", "a", "b", "error")
+
+
 def _workload(spark, sf) -> DataFrame:
     return commands.parse(command_lines(spark, sf)).where("error is null")
 
@@ -171,11 +173,6 @@ def kv_sst_files(spark, sf):
 
 
 def kv_fence_lookup(spark, sf):
-    probes = spark.read.parquet(f"{sf}/customer.parquet").where("c_custkey % 10 = 0").select(F.col("c_custkey").alias("key"))
-    return layout.fence_lookup(layout.blocks(orders_log(spark, sf)), probes)
-
-
-def kv_fence_lookup_all(spark, sf):
     """Every customer, looked up in every run."""
     probes = spark.read.parquet(f"{sf}/customer.parquet").select(F.col("c_custkey").alias("key"))
     return layout.fence_lookup(layout.blocks(orders_log(spark, sf)), probes)
@@ -268,9 +265,17 @@ def kv_stream_snapshot(spark, sf):
 
 
 def kv_generate(spark, sf):
-    """A generated workload's mixture; as many commands as there are orders."""
+    """A generated workload of as many puts as there are orders: how many commands of each kind, and how many break its
+    rules (a first command that isn't a put, places that aren't dense, a range that ends before it begins, a value where
+    none belongs, a delete of a key that no put before it has)."""
     n = spark.read.parquet(f"{sf}/orders.parquet").count()
-    return generate(spark, Workload(puts=n, gets=n // 10, ranges=n // 100, deletes=n // 50, misses=0.3, skew=0.2)).groupBy("op").count()
+    w = generate(spark, Workload(puts=n, gets=n // 10, ranges=n // 100, deletes=n // 50, misses=0.3, skew=0.2))
+    first = w.where("op = 'p'").groupBy("a").agg(F.min("pos").alias("since"))
+    d = w.join(first, "a", "left")
+    bad = F.expr("(pos = 0 and op <> 'p') or (op = 'r' and a > b) or (op in ('p', 'r')) <> (b is not null) or (op = 'd' and not coalesce(since < pos, false))")
+    counts = d.groupBy("op").agg(F.count("*").alias("count"), F.count_if(bad).alias("broken"))
+    holes = w.agg(F.max("pos") + 1 - F.countDistinct("pos")).first()[0]
+    return counts.withColumn("broken", F.col("broken") + F.lit(holes))
 
 
 _OUT = "select k as key, seq as seq_num, v as val from "
@@ -299,8 +304,7 @@ ALL: list[tuple[str, Query, str | None]] = [
     ("kv_multi_range", kv_multi_range, f"with {ORD} select c_custkey as range_id, k as key, v as val from customer join {_visible('ord')} on k >= c_custkey and k < c_custkey + c_custkey % 40"),
     ("kv_as_of", kv_as_of, f"with {ORD} {_OUT}{_visible('ord', 'seq < 1000')}"),
     ("kv_versions", kv_versions, f"with {EV} select k as key, seq as seq_num, case when del then 'D' else 'P' end as write_type, lead(seq) over (partition by k order by seq) as valid_to, v as val from ev"),
-    ("kv_key_order", kv_key_order, f"with {ORD} select k as user_key, seq as seq_num, case when del then 'D' else 'P' end as write_type from ord order by k, seq desc limit 100"),
-    ("kv_key_order_all", kv_key_order_all, f"with {ORD} select k as user_key, seq as seq_num, case when del then 'D' else 'P' end as write_type, row_number() over (order by k, seq desc) - 1 as rank from ord"),
+    ("kv_key_order", kv_key_order, f"with {ORD} select k as user_key, seq as seq_num, case when del then 'D' else 'P' end as write_type, row_number() over (order by k, seq desc) - 1 as rank from ord"),
     (
         "kv_parse",
         kv_parse,
@@ -309,6 +313,16 @@ select pos, case when k < 6 then 'p' when k < 8 then 'g' when k = 8 then 'r' whe
        case when k < 10 then c end as a,
        case when k < 5 then v when k = 5 then -v when k = 8 then c + 30 end as b,
        case when k = 10 then 'Unrecognized command' when k = 11 and c % 2 = 0 then 'Range ends before it begins' when k = 11 then 'Not a 32-bit integer' end as error
+from cmd where not (k = 10 and c % 2 = 0)""",
+    ),
+    (
+        "kv_text_workload",
+        kv_text_workload,
+        """with cmd as (select row_number() over (order by o_orderkey) - 1 as pos, o_orderkey % 12 as k, cast(o_custkey as int) as c, cast(floor(o_totalprice) as int) as v from orders)
+select pos, case when k < 6 then 'p' when k < 8 then 'g' when k = 8 then 'r' when k = 9 then 'd' end as op,
+       case when k < 10 then c end as a,
+       case when k < 5 then v when k = 5 then -v when k = 8 then c + 30 end as b,
+       case when k = 10 then 'Unrecognized command' when k = 11 and c % 2 = 0 then 'Range ends before it begins' when k = 11 then 'Not a 32-bit integer' end as error
 from cmd where not (k = 10 and c % 2 = 0)""",
     ),
     ("kv_replay_get", kv_replay_get, f"with {_SEEN} select pos, a as key, found, val from seen where op = 'g'"),
@@ -338,13 +352,6 @@ select count(*) filter (where op = 'p') as puts,
         "kv_fence_lookup",
         kv_fence_lookup,
         f"""with {ORD}, {_RUNS}, {_BLOCKS},
-hits as (select c_custkey as key, run, min(block) as block from customer join blocks on fence_key >= c_custkey where c_custkey % 10 = 0 group by 1, 2)
-select key, h.run, h.block, key >= min_key as may_hold from hits h join blocks b on h.run = b.run and h.block = b.block""",
-    ),
-    (
-        "kv_fence_lookup_all",
-        kv_fence_lookup_all,
-        f"""with {ORD}, {_RUNS}, {_BLOCKS},
 hits as (select c_custkey as key, run, min(block) as block from customer join blocks on fence_key >= c_custkey group by 1, 2)
 select key, h.run, h.block, key >= min_key as may_hold from hits h join blocks b on h.run = b.run and h.block = b.block""",
     ),
@@ -363,7 +370,7 @@ select key, h.run, h.block, key >= min_key as may_hold from hits h join blocks b
     ),
     ("kv_load_roundtrip", kv_load_roundtrip, "select cast(o_custkey as int) as user_key, o_orderkey as seq_num, 'P' as write_type, cast(floor(o_totalprice) * case when o_orderkey % 2 = 0 then -1 else 1 end as int) as user_val from orders"),
     ("kv_stream_snapshot", kv_stream_snapshot, f"with {EV} {_OUT}{_visible('ev')}"),
-    ("kv_generate", kv_generate, "with n as (select count(*) as n from orders) select 'p' as op, n as count from n union all select 'g', n // 10 from n union all select 'r', n // 100 from n union all select 'd', n // 50 from n"),
+    ("kv_generate", kv_generate, "with n as (select count(*) as n from orders) select 'p' as op, n as count, 0::bigint as broken from n union all select 'g', n // 10, 0 from n union all select 'r', n // 100, 0 from n union all select 'd', n // 50, 0 from n"),
 ]
 
 

@@ -26,16 +26,13 @@ def run_to_table(stream: DataFrame, name: str, checkpoint: str, mode: str = "com
 def run_to_store(commands: DataFrame, path: str, checkpoint: str, **options) -> None:
     """Streams (pos, op, a, b) into a store, one write-ahead batch for each micro-batch.
 
-    The store remembers the last micro-batch in its folder, so one that is delivered again is skipped.
+    A micro-batch's number is committed with its writes, in one manifest; one that is delivered again is skipped.
+    checkpoint names the stream.
     """
     spark: SparkSession = commands.sparkSession
 
     def add(batch: DataFrame, epoch: int) -> None:
-        store = Store.open(spark, path, **options)
-        done = [n for n in store.folder.names("epochs") if n == f"{epoch:012d}"]
-        if not done:
-            store.apply(batch)
-            store.folder.write_new(f"epochs/{epoch:012d}", "done")
+        Store.open(spark, path, **options).apply(batch, (checkpoint, epoch))
 
     q = commands.writeStream.foreachBatch(add).option("checkpointLocation", checkpoint).trigger(availableNow=True).start()
     q.awaitTermination()

@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import math
 from dataclasses import dataclass
 
 from pyspark.sql import DataFrame, SparkSession
@@ -31,45 +32,45 @@ class Workload:
             raise ValueError("a workload needs puts")
 
 
-def _key(seed: int):
-    return (F.floor(F.rand(seed) * (1 << 32)) - (1 << 31)).cast("int")
-
-
 def generate(spark: SparkSession, w: Workload) -> DataFrame:
     """(pos, op, a, b), a random mixture of the commands whose first is a put.
 
-    Gets and deletes take the key of a put: the n-th put of the workload, drawn uniformly. A get's key may have been
-    put later, which is then a miss; otherwise a miss draws a key of its own.
+    Gets and deletes take the key of a put that stands before them, drawn uniformly; a miss draws a key of its own, and a
+    repeated get takes the key of one before it. All numbers come from hashes of a command's kind and number, so the
+    workload is the same whatever its partitions.
     """
-    s = w.seed
-    puts = spark.range(w.puts).select(F.col("id").alias("n"), _key(s).alias("a"), _key(s + 1).alias("b"))
-    draw = lambda n, seed: spark.range(n).select("id", F.floor(F.rand(seed) * w.puts).cast("bigint").alias("n"))
-    gets = draw(w.gets, s + 2).join(puts.select("n", "a"), "n", "left").select("id", F.when(F.rand(s + 3) < w.misses, _key(s + 4)).otherwise(F.col("a")).alias("a"))
-    # A repeated get takes the key of an earlier one: get number floor(rand * id).
-    again = gets.withColumn("of", F.when((F.rand(s + 5) < w.skew) & (F.col("id") > 0), F.floor(F.rand(s + 6) * F.col("id")).cast("bigint")))
-    first = gets.select(F.col("id").alias("of"), F.col("a").alias("old"))
-    gets = again.join(first, "of", "left").select("id", F.coalesce("old", "a").alias("a"))
-    deletes = draw(w.deletes, s + 7).join(puts.select("n", "a"), "n").select("id", "a")
-    ends = (lambda seed: F.greatest(F.lit(-(2.0**31)), F.least(F.lit(2.0**31 - 1), F.randn(seed) * SIGMA)).cast("int")) if w.gaussian_ranges else _key
-    ranges = spark.range(w.ranges).select("id", ends(s + 8).alias("x"), ends(s + 9).alias("y")).select("id", F.least("x", "y").alias("a"), F.greatest("x", "y").alias("b"))
-    none = F.lit(None).cast("int").alias("b")
-    parts = [
-        puts.select(F.lit("p").alias("op"), F.col("n").alias("id"), "a", "b"),
-        gets.select(F.lit("g").alias("op"), "id", "a", none),
-        ranges.select(F.lit("r").alias("op"), "id", "a", "b"),
-        deletes.select(F.lit("d").alias("op"), "id", "a", none),
-    ]
-    out = parts[0]
+    parts = [spark.range(n).select(F.lit(op).alias("op"), "id") for op, n in (("p", w.puts), ("g", w.gets), ("r", w.ranges), ("d", w.deletes))]
+    all_ = parts[0]
     for p in parts[1:]:
-        out = out.unionByName(p)
-    place = F.xxhash64("op", "id", F.lit(s))
+        all_ = all_.unionByName(p)
+    drawn = lambda k: (F.pmod(F.xxhash64("op", "id", F.lit(w.seed), F.lit(k)), F.lit(1 << 52)) + F.lit(0.5)) / float(1 << 52)
+    key = lambda k: (F.floor(drawn(k) * (1 << 32)) - (1 << 31)).cast("int")
     lead = F.when((F.col("op") == "p") & (F.col("id") == 0), 0).otherwise(1)
-    return with_rank(out.withColumn("_l", lead).withColumn("_h", place), [F.col("_l"), F.col("_h"), F.col("op"), F.col("id")], "pos").select("pos", "op", "a", "b")
+    order = [lead, F.xxhash64("op", "id", F.lit(w.seed)), F.col("op"), F.col("id")]
+    d = with_rank(all_, order, "pos")
+    # How many puts and gets stand up to each command.
+    counted = F.when(F.col("op") == "p", F.lit(1 << 32)).when(F.col("op") == "g", 1).otherwise(0).cast("bigint")
+    d = with_running_sum(d.withColumn("_c", counted), [F.col("pos")], "_c", "_s")
+    d = d.select("op", "id", "pos", F.expr("_s div 4294967296").alias("puts"), F.expr("_s % 4294967296").alias("gets"))
+    puts = d.where("op = 'p'").select((F.col("puts") - 1).alias("n"), "pos", key(0).alias("a"), key(1).alias("b"))
+    by_put = d.where("op in ('g', 'd')").withColumn("n", F.floor(drawn(2) * F.col("puts")).cast("bigint")).join(puts.select("n", F.col("a").alias("held")), "n")
+    gets = by_put.where("op = 'g'").select("op", "id", "pos", "gets", F.when(drawn(3) < w.misses, key(4)).otherwise(F.col("held")).alias("a"))
+    again = gets.withColumn("of", F.when((drawn(5) < w.skew) & (F.col("gets") > 1), F.floor(drawn(6) * (F.col("gets") - 1)).cast("bigint")))
+    first = gets.select((F.col("gets") - 1).alias("of"), F.col("a").alias("old"))
+    gets = again.join(first, "of", "left").select("pos", F.coalesce("old", "a").alias("a"))
+    normal = lambda k: F.greatest(F.lit(-(2.0**31)), F.least(F.lit(2.0**31 - 1), F.sqrt(-2 * F.log(drawn(k))) * F.cos(2 * math.pi * drawn(k + 1)) * SIGMA)).cast("int")
+    x, y = (normal(8), normal(10)) if w.gaussian_ranges else (key(8), key(10))
+    none = F.lit(None).cast("int").alias("b")
+    out = puts.select("pos", F.lit("p").alias("op"), "a", "b")
+    out = out.unionByName(gets.select("pos", F.lit("g").alias("op"), "a", none))
+    out = out.unionByName(d.where("op = 'r'").select("pos", "op", F.least(x, y).alias("a"), F.greatest(x, y).alias("b")))
+    return out.unionByName(by_put.where("op = 'd'").select("pos", "op", F.col("held").alias("a"), none))
 
 
 def lines(w: DataFrame) -> DataFrame:
     """The commands as text."""
-    return w.select("pos", F.concat_ws(" ", "op", F.col("a").cast("string"), F.col("b").cast("string")).alias("line"))
+    file = [F.concat(F.lit('"'), F.col("file"), F.lit('"'))] if "file" in w.columns else []
+    return w.select("pos", F.concat_ws(" ", "op", F.col("a").cast("string"), F.col("b").cast("string"), *file).alias("line"))
 
 
 def put_blocks(w: DataFrame) -> DataFrame:
