@@ -18,7 +18,7 @@ from pyspark.sql import functions as F
 from tests.llm import brute
 from tests.llm.brute import SF
 from tests.oracle import differences
-from tidelog.llm import chat_format, decontaminate, exact_dedup, license_scan, near_dedup, packing, quality, queries, repeats, token_store, url_filter
+from tidelog.llm import chat_format, decontaminate, encoding, exact_dedup, license_scan, near_dedup, packing, quality, queries, repeats, token_store, url_filter
 from tidelog.llm.common import components
 
 LONG = " ".join(f"w{k % 977}x{k}" for k in range(60_000))
@@ -150,6 +150,18 @@ def test_chat(spark):
     assert got == chat_want(turns)
 
 
+def test_chat_in_sql(spark):
+    assert differences(spark, queries.op2_chat_format, queries.OP2) == []
+
+
+def test_decoder():
+    rng = np.random.default_rng(7)
+    for path in (queries.vocabulary(), queries.vocabulary().replace("byte_bpe_50k", "word_bpe_49k")):
+        ids, cuts = rng.integers(0, 49_000, 300), np.array([0, 0, 100, 250, 300])
+        want = encoding.tokenizer(path).decode_batch([ids[a:b].tolist() for a, b in zip(cuts[:-1], cuts[1:], strict=True)], skip_special_tokens=False)
+        assert encoding.decoder(path).texts(ids, cuts) == want
+
+
 def test_chat_edges(spark):
     turns = [(1, 0, "user", None), (1, 1, "assistant", ""), (1, 2, None, "x"), (None, 0, "assistant", "<|end|>"), (2, None, "assistant", LONG), (2, 0, "assistant", "b"), (2, 0, "assistant", "b"), (3, 0, "<|text|>", "<|turn|>\\<|tu\\rn|>")]
     d = spark.createDataFrame(turns, "conv_id bigint, turn bigint, role string, text string").withColumn("ids", F.lit(1)).withColumn("start", F.lit(2))
@@ -158,6 +170,9 @@ def test_chat_edges(spark):
     a = chat_format.assemble(chat_format.format_turns(d, queries.vocabulary()))
     spans = sorted((r["start"], r["start"] + len(r["ids"])) for r in a.where("conv_id = 2").collect())
     assert all(x[1] == y[0] for x, y in zip(spans, spans[1:], strict=False))
+    text = {(r["conv_id"], r["turn"]): r for r in a.where("conv_id in (1, 3)").collect()}
+    assert text[1, 2]["formatted"] == "<|turn|><|text|>x<|end|>" and all(len(r["formatted"]) == r["formatted_chars"] for r in text.values())
+    assert sum(r["formatted_chars"] for r in text.values() if r["conv_id"] == 3) == out[3]["formatted_chars"]
     assert chat_format.chat_digests(d.limit(0), queries.vocabulary()).count() == 0
 
 
@@ -270,6 +285,10 @@ def near_got(df):
     return {r["doc_id"]: (r["n_shingles"], r["component_id"], r["kept"]) for r in df.collect()}
 
 
+def test_near_in_sql(spark):
+    assert differences(spark, queries.op6_minhash_dedup, queries.OP6) == []
+
+
 def test_near(docs, rows):
     assert near_got(near_dedup.report(docs)) == brute.near(rows)
 
@@ -372,7 +391,7 @@ def test_components(spark):
 
 
 def test_tokens(spark, rows):
-    t = chat_format.tokenizer(queries.vocabulary())
+    t = encoding.tokenizer(queries.vocabulary())
     want, at = [], 0
     for i, x in sorted(rows):
         ids = [*t.encode(x, add_special_tokens=False).ids, 2]
@@ -383,7 +402,7 @@ def test_tokens(spark, rows):
 
 def test_token_positions(spark, docs, rows):
     """Ids by their position over the whole store, in small segments."""
-    t = chat_format.tokenizer(queries.vocabulary())
+    t = encoding.tokenizer(queries.vocabulary())
     ids = [i for _, x in sorted(rows) for i in [*t.encode(x, add_special_tokens=False).ids, 2]]
     segments = token_store.write_segments(docs, queries.vocabulary(), segment_ids=700)
     assert segments.count() > 50 and all(r["n_tokens"] <= 700 or len(r["doc_ids"]) == 1 for r in segments.select("n_tokens", "doc_ids").collect())
@@ -399,8 +418,8 @@ def test_other_vocabularies(spark):
 
     path = public_tokenizers.path("word_bpe_49k.json")
     texts = ["Hello  World, it's", "", "a\nB 12"]
-    ids, n = token_store.encoder(path).encode(pa.array(texts))
-    want = [chat_format.tokenizer(path).encode(x, add_special_tokens=False).ids for x in texts]
+    ids, n = encoding.encoder(path).encode(pa.array(texts))
+    want = [encoding.tokenizer(path).encode(x, add_special_tokens=False).ids for x in texts]
     assert ids.tolist() == [i for w in want for i in w] and n.tolist() == list(map(len, want))
 
 
@@ -410,14 +429,14 @@ PIECES = ["a", "the", "$$$", "12", "'ll", "aZ9", "-a", "antidisestablishmentaria
 @settings(max_examples=500, deadline=None)
 @given(st.lists(st.lists(st.sampled_from(PIECES), max_size=10).map("".join), min_size=1, max_size=4))
 def test_pieces_encode_like_the_whole(texts):
-    ids, n = token_store.encoder(queries.vocabulary()).encode(pa.array(texts, pa.string()))
-    whole = [chat_format.tokenizer(queries.vocabulary()).encode(x, add_special_tokens=False).ids for x in texts]
+    ids, n = encoding.encoder(queries.vocabulary()).encode(pa.array(texts, pa.string()))
+    whole = [encoding.tokenizer(queries.vocabulary()).encode(x, add_special_tokens=False).ids for x in texts]
     assert ids.tolist() == [i for w in whole for i in w] and n.tolist() == list(map(len, whole))
 
 
 def test_pieces_number_each_key_once():
     rng = np.random.default_rng(9)
-    pieces, seen = token_store.Pieces(16), {}
+    pieces, seen = encoding.Pieces(16), {}
     for _ in range(40):
         keys = rng.integers(0, 4, (rng.integers(0, 60), 3)).astype(np.uint64)
         got, new = pieces.find(keys, len(seen))

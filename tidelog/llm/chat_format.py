@@ -17,7 +17,7 @@ Defined results
 ---------------
 - null role or text: empty. Empty texts make a turn without text ids.
 - null conv_id: one conversation with the id null. null turn: before the numbered turns.
-- ties (the same conv_id and turn) and repeated rows: all are turns, ordered by turn, role, text.
+- ties (the same conv_id and turn) and repeated rows: all are turns, ordered by turn, then by their ids.
 - very long texts or conversations: turns are formatted one by one; `assemble` streams over sorted turns and holds
   one Arrow batch at a time, whatever a conversation's length.
 - empty table: no rows. Extra columns of the input are not looked at.
@@ -28,14 +28,14 @@ from __future__ import annotations
 import hashlib
 import re
 from collections.abc import Iterable, Iterator
-from functools import lru_cache
 
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import batch_of, text_of
+from .common import batch_of, spans, text_of
+from .encoding import decoder, encoder, tokenizer
 
 TURN, TEXT, END = "<|turn|>", "<|text|>", "<|end|>"
 
@@ -50,59 +50,61 @@ ASSISTANT = "assistant"
 
 
 def escape(text: str) -> str:
+    if "<" not in text and "[" not in text:
+        return text
     return _FIND.sub(lambda m: m[0][0] + ESCAPE + m[0][1:], text)
 
 
 def unescape(text: str) -> str:
+    if ESCAPE not in text:
+        return text
     return _BACK.sub(lambda m: m[0][0] + m[0][2:], text)
 
 
-@lru_cache(maxsize=4)
-def tokenizer(path: str):
-    from tokenizers import Tokenizer
-
-    t = Tokenizer.from_file(path)
-    t.encode_special_tokens = True
-    return t
-
-
 def reserved(path: str) -> tuple[int, int, int]:
     """Ids of TURN, TEXT and END: the first three after the vocabulary."""
     n = tokenizer(path).get_vocab_size(with_added_tokens=True)
     return n, n + 1, n + 2
 
 
-TURNS = "conv_id bigint, turn bigint, role string, text string, ids array<int>, loss_from int, loss_to int, formatted string"
+TURNS = "conv_id bigint, turn bigint, ids array<int>, loss_from int, loss_to int, formatted_chars bigint, formatted string"
 
 
-def format_turns(turns: DataFrame, vocabulary: str) -> DataFrame:
-    """One row per turn: its ids, the span of ids under the loss mask (empty but for assistants), and the same as text."""
-    schema = pa.schema([("conv_id", pa.int64()), ("turn", pa.int64()), ("role", pa.string()), ("text", pa.string()), ("ids", pa.list_(pa.int32())), ("loss_from", pa.int32()), ("loss_to", pa.int32()), ("formatted", pa.string())])
+def format_turns(turns: DataFrame, vocabulary: str, as_text: bool = True) -> DataFrame:
+    """One row per turn: its ids, the span of ids under the loss mask (empty but for assistants), how many characters it
+    has as text, and with as_text that text."""
+    schema = pa.schema([("conv_id", pa.int64()), ("turn", pa.int64()), ("ids", pa.list_(pa.int32())), ("loss_from", pa.int32()), ("loss_to", pa.int32()), ("formatted_chars", pa.int64()), ("formatted", pa.string())])
+    marks = len(TURN) + len(TEXT) + len(END)
 
     def run(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        t, (turn_id, text_id, end_id) = tokenizer(vocabulary), reserved(vocabulary)
+        enc, (turn_id, text_id, end_id) = encoder(vocabulary), reserved(vocabulary)
         for whole in batches:
-            for at in range(0, whole.num_rows, 256):
-                b = whole.slice(at, 256)
+            for at in range(0, whole.num_rows, 2048):
+                b = whole.slice(at, 2048)
+                n = b.num_rows
                 roles, texts = ([escape(x) for x in b.column(k).to_pylist()] for k in (2, 3))
-                segments = [s for pair in zip(roles, texts, strict=True) for s in pair]
-                codes = [e.ids for e in t.encode_batch_fast(segments, add_special_tokens=False)]
-                spliced = [s for r, x in zip(codes[::2], codes[1::2], strict=True) for s in ([turn_id], r, [text_id], x, [end_id])]
-                ends = np.cumsum([len(s) for s in spliced]).reshape(-1, 5)
-                start = np.concatenate([[0], ends[:-1, 4]])
-                said = np.array([r == ASSISTANT for r in roles], bool)
-                lo = ends[:, 2] - start
-                hi = np.where(said, ends[:, 3] - start, lo)
-                flat = np.fromiter((i for s in spliced for i in s), np.int32, int(ends[-1, 4]))
-                ids = pa.ListArray.from_arrays(pa.array(np.concatenate([[0], ends[:, 4]]).astype(np.int32)), pa.array(flat))
-                text = [f"{TURN}{r}{TEXT}{x}{END}" for r, x in zip(roles, texts, strict=True)]
-                yield batch_of(schema, b.column(0), b.column(1), b.column(2), b.column(3), ids, lo, hi, text)
+                codes, sizes = enc.encode(pa.array([*roles, *texts], pa.string()))
+                heads = np.cumsum(sizes) - sizes
+                role_n, text_n = sizes[:n], sizes[n:]
+                # Prefix sums of the segments' lengths: where each turn begins, and its text.
+                ends = np.cumsum(role_n + text_n + 3)
+                start = ends - (role_n + text_n + 3)
+                flat = np.empty(int(ends[-1]), np.int32)
+                flat[start], flat[start + 1 + role_n], flat[ends - 1] = turn_id, text_id, end_id
+                flat[spans(start + 1, role_n)] = codes[spans(heads[:n], role_n)]
+                flat[spans(start + 2 + role_n, text_n)] = codes[spans(heads[n:], text_n)]
+                lo = 2 + role_n
+                hi = np.where(np.array([r == ASSISTANT for r in roles], bool), lo + text_n, lo)
+                ids = pa.ListArray.from_arrays(pa.array(np.concatenate([[0], ends]).astype(np.int32)), pa.array(flat))
+                chars = [marks + len(r) + len(x) for r, x in zip(roles, texts, strict=True)]
+                text = [f"{TURN}{r}{TEXT}{x}{END}" for r, x in zip(roles, texts, strict=True)] if as_text else pa.nulls(n, pa.string())
+                yield batch_of(schema, b.column(0), b.column(1), ids, lo.astype(np.int32), hi.astype(np.int32), chars, text)
 
     rows = turns.select(turns["conv_id"].cast("bigint").alias("conv_id"), turns["turn"].cast("bigint").alias("turn"), text_of(turns, "role").alias("role"), text_of(turns, "text").alias("text"))
     return rows.mapInArrow(run, TURNS)
 
 
-SPANS = "conv_id bigint, turn bigint, ids array<int>, start bigint, loss_from bigint, loss_to bigint, formatted string"
+SPANS = "conv_id bigint, turn bigint, ids array<int>, start bigint, loss_from bigint, loss_to bigint, formatted_chars bigint, formatted string"
 
 
 def assemble(formatted: DataFrame) -> DataFrame:
@@ -110,7 +112,7 @@ def assemble(formatted: DataFrame) -> DataFrame:
 
     The rows of a conversation stand together and in order within a partition; they are streamed, not gathered.
     """
-    schema = pa.schema([("conv_id", pa.int64()), ("turn", pa.int64()), ("ids", pa.list_(pa.int32())), ("start", pa.int64()), ("loss_from", pa.int64()), ("loss_to", pa.int64()), ("formatted", pa.string())])
+    schema = pa.schema([("conv_id", pa.int64()), ("turn", pa.int64()), ("ids", pa.list_(pa.int32())), ("start", pa.int64()), ("loss_from", pa.int64()), ("loss_to", pa.int64()), ("formatted_chars", pa.int64()), ("formatted", pa.string())])
 
     def run(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         conv, at = object(), 0
@@ -122,52 +124,58 @@ def assemble(formatted: DataFrame) -> DataFrame:
                 starts.append(at)
                 at += n
             s = np.array(starts, np.int64)
-            yield batch_of(schema, b.column("conv_id"), b.column("turn"), b.column("ids"), s, s + b.column("loss_from").to_numpy(), s + b.column("loss_to").to_numpy(), b.column("formatted"))
+            yield batch_of(schema, b.column("conv_id"), b.column("turn"), b.column("ids"), s, s + b.column("loss_from").to_numpy(), s + b.column("loss_to").to_numpy(), b.column("formatted_chars"), b.column("formatted"))
 
-    ordered = formatted.repartition("conv_id").sortWithinPartitions("conv_id", "turn", "role", "text")
+    ordered = formatted.repartition("conv_id").sortWithinPartitions("conv_id", "turn", "ids")
     return ordered.mapInArrow(run, SPANS)
 
 
-DIGESTS = "conv_id bigint, n_turns bigint, turns_sha256 string, loss_chars bigint, loss_sha256 string, formatted_chars bigint, n_ids bigint, n_loss_ids bigint"
+DIGESTS = "conv_id bigint, n_turns bigint, turns_sha256 string, loss_chars bigint, loss_sha256 string, formatted_chars bigint"
 
 
 def digests(assembled: DataFrame, vocabulary: str) -> DataFrame:
     """Per conversation what `assemble` made, read back: roles and texts are decoded from the ids between reserved
-    ids, the loss text from the ids under the mask."""
-    schema = pa.schema([("conv_id", pa.int64()), ("n_turns", pa.int64()), ("turns_sha256", pa.string()), ("loss_chars", pa.int64()), ("loss_sha256", pa.string()), ("formatted_chars", pa.int64()), ("n_ids", pa.int64()), ("n_loss_ids", pa.int64())])
+    ids, and the loss text is cut from them by the mask."""
+    schema = pa.schema([("conv_id", pa.int64()), ("n_turns", pa.int64()), ("turns_sha256", pa.string()), ("loss_chars", pa.int64()), ("loss_sha256", pa.string()), ("formatted_chars", pa.int64())])
 
     def run(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        t, (turn_id, text_id, end_id) = tokenizer(vocabulary), reserved(vocabulary)
+        dec, (turn_id, text_id, end_id) = decoder(vocabulary), reserved(vocabulary)
         conv, now, done = None, None, []
 
         def close():
             if now is not None:
-                done.append((conv, now["turns"], now["all"].hexdigest(), now["chars"], now["loss"].hexdigest(), now["formatted"], now["ids"], now["masked"]))
+                done.append((conv, now["turns"], now["all"].hexdigest(), now["chars"], now["loss"].hexdigest(), now["formatted"]))
 
         for b in batches:
-            c = {k: b.column(k).to_pylist() for k in ("conv_id", "loss_from", "loss_to", "start", "formatted")}
-            ids = [x.values.to_numpy() if hasattr(x, "values") else np.array(x, np.int32) for x in b.column("ids")]
-            parts = []
-            for k, x in enumerate(ids):
-                mid = int(np.flatnonzero(x == text_id)[0])
-                if x[0] != turn_id or x[-1] != end_id:
-                    raise ValueError("a turn's ids don't begin and end with the reserved ids")
-                lo, hi = c["loss_from"][k] - c["start"][k], c["loss_to"][k] - c["start"][k]
-                parts += [x[1:mid].tolist(), x[mid + 1 : -1].tolist(), x[lo:hi].tolist()]
-            read = [unescape(s) for s in t.decode_batch(parts, skip_special_tokens=False)]
-            for k in range(len(ids)):
-                if now is None or c["conv_id"][k] != conv:
+            ids = b.column("ids")
+            n = ids.value_lengths().to_numpy().astype(np.int64)
+            flat = ids.flatten().to_numpy()
+            ends = np.cumsum(n)
+            first = ends - n
+            mid = np.flatnonzero(flat == text_id)
+            if len(mid) != len(n) or (flat[first] != turn_id).any() or (flat[ends - 1] != end_id).any():
+                raise ValueError("a turn's ids don't stand between the reserved ids")
+            start = b.column("start").to_numpy()
+            lo, hi = (first + b.column(c).to_numpy() - start for c in ("loss_from", "loss_to"))
+            # Per turn: role, text before the mask, text under it, text after it.
+            masked = lo < hi
+            lo, hi = np.where(masked, lo, mid + 1), np.where(masked, hi, mid + 1)
+            cuts = np.stack([first + 1, mid, mid + 1, lo, lo, hi, hi, ends - 1], 1).reshape(-1, 2)
+            size = cuts[:, 1] - cuts[:, 0]
+            read = dec.texts(flat[spans(cuts[:, 0], size)], np.concatenate([[0], np.cumsum(size)]))
+            for k, (c, chars) in enumerate(zip(b.column("conv_id").to_pylist(), b.column("formatted_chars").to_pylist(), strict=True)):
+                if now is None or c != conv:
                     close()
-                    conv = c["conv_id"][k]
-                    now = {"turns": 0, "all": hashlib.sha256(), "chars": 0, "loss": hashlib.sha256(), "formatted": 0, "ids": 0, "masked": 0}
-                role, text, loss = read[3 * k : 3 * k + 3]
+                    conv = c
+                    now = {"turns": 0, "all": hashlib.sha256(), "chars": 0, "loss": hashlib.sha256(), "formatted": 0}
+                role, before, under, after = read[4 * k : 4 * k + 4]
+                text = unescape(before + under + after)
+                loss = text if under and not before and not after else unescape(under)
                 now["turns"] += 1
-                now["all"].update(f"{role}\n{text}\n".encode())
+                now["all"].update(f"{unescape(role)}\n{text}\n".encode())
                 now["chars"] += len(loss)
                 now["loss"].update(loss.encode())
-                now["formatted"] += len(c["formatted"][k])
-                now["ids"] += len(ids[k])
-                now["masked"] += c["loss_to"][k] - c["loss_from"][k]
+                now["formatted"] += chars
             if len(done) >= 1000:
                 yield batch_of(schema, *zip(*done, strict=True))
                 done = []
@@ -179,7 +187,8 @@ def digests(assembled: DataFrame, vocabulary: str) -> DataFrame:
 
 
 def chat_digests(turns: DataFrame, vocabulary: str) -> DataFrame:
-    return digests(assemble(format_turns(turns, vocabulary)), vocabulary)
+    """The digests of what is formatted; only ids and lengths are dealt, no text."""
+    return digests(assemble(format_turns(turns, vocabulary, as_text=False)), vocabulary)
 
 
 def with_probe(turns: DataFrame) -> DataFrame:

@@ -109,6 +109,42 @@ from keyed
 """
 
 
+def _escapes(text: str) -> str:
+    """How many control strings `text` holds, escaped ones included."""
+    return f"len(regexp_extract_all({text}, '{chat_format._FIND.pattern}'))"
+
+
+_TURNS = """turns as (
+  select conv_id, turn, coalesce(role, '') as role, coalesce(text, '') as text from conversations
+  union all select -7, 0, 'user', '</s>[INST] ok [/INST]' union all select -7, 1, 'assistant', '</s>[INST] ok [/INST]')"""
+
+#: Of turns with the same number the operator orders by ids, which SQL can't; the tables have none.
+OP2 = f"""
+with {_TURNS}
+select conv_id, count(*) as n_turns,
+       sha256(string_agg(role || chr(10) || text || chr(10), '' order by turn nulls first, role, text)) as turns_sha256,
+       cast(coalesce(sum(length(text)) filter (where role = 'assistant'), 0) as bigint) as loss_chars,
+       sha256(coalesce(string_agg(text, '' order by turn nulls first, role, text) filter (where role = 'assistant'), '')) as loss_sha256,
+       cast(sum({len(chat_format.TURN + chat_format.TEXT + chat_format.END)} + length(role) + length(text) + {_escapes('role')} + {_escapes('text')}) as bigint) as formatted_chars
+from turns group by conv_id
+"""
+
+OP6 = f"""
+with recursive w as (select doc_id, regexp_extract_all({_FOLD}, '[^\\x20\\x09-\\x0D]+') as ws from documents),
+grams as (
+  select doc_id, unnest(case when len(ws) >= 5 then list_transform(range(1, len(ws) - 3), lambda i: array_to_string(list_slice(ws, i, i + 4), ' '))
+                             when len(ws) > 0 then [array_to_string(ws, ' ')] else [] end) as g from w),
+s as (select distinct doc_id, g from grams),
+n as (select doc_id, count(*) as n from s group by doc_id),
+pairs as (select a.doc_id as a, b.doc_id as b, count(*) as both_ from s a join s b on a.g = b.g and a.doc_id < b.doc_id group by all),
+links as (select a, b from pairs join n x on x.doc_id = a join n y on y.doc_id = b where 100 * both_ >= 75 * (x.n + y.n - both_)),
+edges as (select a, b from links union all select b, a from links),
+reach as (select doc_id, doc_id as r from documents union select reach.doc_id, edges.b from reach join edges on reach.r = edges.a),
+comp as (select doc_id, min(r) as component_id from reach group by doc_id)
+select doc_id, coalesce(n, 0) as n_shingles, component_id, doc_id = component_id as kept from comp left join n using (doc_id)
+"""
+
+
 #: The host's pattern is url_filter.host_of's.
 OP5 = r"""
 with pages_ as (
@@ -147,4 +183,4 @@ from pages_ p left join best b using (page_id)
 
 
 def oracle_sql() -> dict[str, str]:
-    return {"op5_url_filter": OP5, "op8_exact_dedup": OP8}
+    return {"op2_chat_format": OP2, "op5_url_filter": OP5, "op6_minhash_dedup": OP6, "op8_exact_dedup": OP8}
