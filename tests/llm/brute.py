@@ -117,6 +117,26 @@ def licenses(text: str, phrases: dict[str, str]) -> tuple:
     return len(w), len(at), min(at, default=None), max(at, default=None), ",".join(sorted(labels))
 
 
+def scan(text: str, phrases: dict[str, str], templates: dict[str, str], cover: float, gap: int) -> tuple:
+    """labels and score: templates whose four-word grams stand in the text, by diagonals no more than `gap` apart."""
+    split = lambda t: re.findall(r"[^\x00-\x2F\x3A-\x60\x7B-\x7F]+", t.translate(FOLD))
+    w = split(text)
+    base = licenses(text, phrases)
+    labels, score = {x for x in base[4].split(",") if x}, 1.0 if base[1] else 0.0
+    for label, template in templates.items():
+        t = split(template)
+        grams = [tuple(t[q : q + 4]) for q in range(len(t) - 3)]
+        votes = sorted((p - q, q) for p in range(len(w) - 3) for q, g in enumerate(grams) if tuple(w[p : p + 4]) == g)
+        at = 0
+        for k in range(1, len(votes) + 1):
+            if k == len(votes) or votes[k][0] - votes[k - 1][0] > gap:
+                share = len({q for _, q in votes[at:k]}) / len(grams)
+                score = max(score, share)
+                labels |= {label} if share >= cover else set()
+                at = k
+    return ",".join(sorted(labels)), score
+
+
 def importance(rows: list[tuple[int, str]], good: set[int], bucket, smoothing: float, z: float) -> dict[int, float]:
     """Log weights by words and pairs, each document's own counts left out."""
     own = {i: Counter(bucket(g) for n in (1, 2) for g in zip(*(words(t)[k:] for k in range(n)), strict=False)) for i, t in rows}

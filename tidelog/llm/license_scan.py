@@ -1,14 +1,14 @@
 """License scans by diagonal voting.
 
 A template is a list of words. All rolling word k-gram hashes of a text are joined with the k-gram hashes of the
-templates; a hit at text position p and template position q votes for the diagonal p - q. Votes are summed by
-diagonal, neighbouring diagonals (a word more or less in the text) are merged, and a span is verified by the share
-of the template's k-grams that it holds: all of them, on one diagonal, for a short phrase, MIN_COVER for a longer
-template.
+templates; a hit at text position p and template position q whose first and last words are the same votes for the
+diagonal p - q. Votes are gathered by diagonal and neighbouring diagonals (a word more or less in the text) are merged.
+A span is verified by the share of the template's positions that have voted for it, each once: all of them, on one
+diagonal, for a short phrase, MIN_COVER for a longer template. As every gram's words are compared at both ends, the words
+of a run of grams are all compared.
 
-The templates are a parameter with a bound (MAX_TEMPLATE_WORDS words in all), checked before they are broadcast.
-Positions count words from 0. Grams are told apart by 64-bit hashes. Words of long texts are never cut into
-blocks, so no gram is lost at an edge.
+Templates of up to BROADCAST_WORDS words in all are broadcast; more are met by a plain join.
+Positions count words from 0. Words of long texts are never cut into blocks, so no gram is lost at an edge.
 
 Defined results
 ---------------
@@ -32,7 +32,7 @@ SHORT_K, LONG_K = 2, 4
 MIN_COVER = 0.75
 #: Diagonals at most this far apart are one span.
 NEIGHBOURS = 4
-MAX_TEMPLATE_WORDS = 100_000
+BROADCAST_WORDS = 100_000
 
 #: Phrases with their labels.
 PHRASES = {"mit license": "mit", "apache license": "apache", "general public license": "gpl"}
@@ -67,21 +67,22 @@ def _fours(pairs: Column) -> Column:
 
 
 def template_grams(spark: SparkSession, phrases: dict[str, str], templates: dict[str, str]) -> DataFrame:
-    """(gram, template, label, base, at, grams): every k-gram of every template with its position and their number."""
+    """(gram, k, template, label, base, at, grams, head, tail): every k-gram of every template with its position, their
+    number, and its first and last word."""
     rows, k = [], 0
     for base, group in ((True, phrases), (False, templates)):
         for a, b in group.items():
             text, label = (a, b) if base else (b, a)
             rows.append((k, label, base, words_of(text)))
             k += 1
-    if (n := sum(len(r[3]) for r in rows)) > MAX_TEMPLATE_WORDS:
-        raise ValueError(f"the templates have {n} words; {MAX_TEMPLATE_WORDS} are broadcast at most")
     if any(len(r[3]) < (SHORT_K if r[2] else LONG_K) for r in rows):
         raise ValueError("a phrase needs two words, a template four")
     t = spark.createDataFrame(rows, "template int, label string, base boolean, words array<string>")
     t = t.withColumn("pairs", _pairs(F.col("words")))
     t = t.withColumn("hashes", F.when(F.col("base"), F.col("pairs")).otherwise(_fours(F.col("pairs"))))
-    return t.select("template", "label", "base", F.size("hashes").alias("grams"), F.posexplode("hashes").alias("at", "gram"))
+    t = t.select("template", "label", "base", "words", F.when(F.col("base"), SHORT_K).otherwise(LONG_K).alias("k"), F.size("hashes").alias("grams"), F.posexplode("hashes").alias("at", "gram"))
+    t = t.select("gram", "k", "template", "label", "base", "at", "grams", F.get("words", F.col("at")).alias("head"), F.get("words", F.col("at") + F.col("k") - 1).alias("tail"))
+    return F.broadcast(t) if sum(len(r[3]) for r in rows) <= BROADCAST_WORDS else t
 
 
 def scan(docs: DataFrame, phrases: dict[str, str] = PHRASES, templates: dict[str, str] = TEMPLATES) -> DataFrame:
@@ -91,19 +92,23 @@ def scan(docs: DataFrame, phrases: dict[str, str] = PHRASES, templates: dict[str
     """
     spark = docs.sparkSession
     d = docs.select(F.monotonically_increasing_id().alias("row"), docs["doc_id"].alias("doc_id"), F.array_remove(F.split(ascii_lower(text_of(docs)), BREAKS), "").alias("words"))
-    d = d.select("row", "doc_id", F.size("words").cast("long").alias("n_words"), _pairs(F.col("words")).alias("pairs"))
+    d = d.select("row", "doc_id", "words", F.size("words").cast("long").alias("n_words"), _pairs(F.col("words")).alias("pairs"))
     # One gram that no template has stands for the row itself: it carries n_words through the join.
-    own = F.array(F.struct(F.lit(-1).alias("pos"), F.lit(None).cast("bigint").alias("gram"), F.lit(0).alias("k")))
-    grams = [F.transform(h, lambda g, i: F.struct(i.alias("pos"), g.alias("gram"), F.lit(k).alias("k"))) for k, h in ((SHORT_K, F.col("pairs")), (LONG_K, _fours(F.col("pairs"))))]
-    hits = d.select("row", "doc_id", "n_words", F.explode(F.concat(own, *grams)).alias("g")).select("row", "doc_id", "n_words", "g.*")
-    t = template_grams(spark, phrases, templates).withColumn("k", F.when(F.col("base"), SHORT_K).otherwise(LONG_K))
-    hits = hits.join(F.broadcast(t), ["gram", "k"], "left").where(F.col("template").isNotNull() | (F.col("pos") == -1))
-    votes = hits.groupBy("row", "doc_id", "n_words", "template", "label", "base", "grams", (F.col("pos") - F.col("at")).alias("diagonal")).agg(F.count("*").alias("votes"), F.min("at").alias("lo"), F.max("at").alias("hi"))
+    none = F.lit(None).cast("string")
+    own = F.array(F.struct(F.lit(-1).alias("pos"), F.lit(None).cast("bigint").alias("gram"), F.lit(0).alias("k"), none.alias("first_"), none.alias("last_")))
+
+    def grams(k: int, hashes: Column) -> Column:
+        return F.transform(hashes, lambda g, i: F.struct(i.alias("pos"), g.alias("gram"), F.lit(k).alias("k"), F.get("words", i).alias("first_"), F.get("words", i + (k - 1)).alias("last_")))
+
+    hits = d.select("row", "doc_id", "n_words", F.explode(F.concat(own, grams(SHORT_K, F.col("pairs")), grams(LONG_K, _fours(F.col("pairs"))))).alias("g")).select("row", "doc_id", "n_words", "g.*")
+    t = template_grams(spark, phrases, templates)
+    hits = hits.join(t, ["gram", "k"], "left").where("first_ = head and last_ = tail or pos = -1")
+    votes = hits.groupBy("row", "doc_id", "n_words", "template", "label", "base", "grams", (F.col("pos") - F.col("at")).alias("diagonal")).agg(F.collect_set("at").alias("voted"), F.min("at").alias("lo"), F.max("at").alias("hi"))
     # Neighbouring diagonals of a longer template become one span; those of a phrase stay alone.
     near = Window.partitionBy("row", "template").orderBy("diagonal")
     new = F.coalesce(F.col("base") | (F.col("diagonal") - F.lag("diagonal").over(near) > NEIGHBOURS), F.lit(True)).cast("int")
     runs = votes.withColumn("new", new).withColumn("span", F.sum("new").over(near))
-    spans = runs.groupBy("row", "doc_id", "n_words", "template", "label", "base", "grams", "span").agg(F.least(F.sum("votes"), F.first("grams")).alias("votes"), F.min(F.col("diagonal") + F.col("lo")).alias("first"), F.max(F.col("diagonal") + F.col("hi")).alias("last"))
+    spans = runs.groupBy("row", "doc_id", "n_words", "template", "label", "base", "grams", "span").agg(F.size(F.array_distinct(F.flatten(F.collect_list("voted")))).alias("votes"), F.min(F.col("diagonal") + F.col("lo")).alias("first"), F.max(F.col("diagonal") + F.col("hi")).alias("last"))
     spans = spans.withColumn("share", F.col("votes") / F.col("grams"))
     good = F.col("template").isNotNull() & F.when(F.col("base"), F.col("votes") == F.col("grams")).otherwise(F.col("share") >= MIN_COVER)
     base = good & F.col("base")
