@@ -2,6 +2,10 @@
 
 Each stage takes (spark, docs, sf_dir), works on all that the one before has kept, and returns what it keeps with
 the columns of documents; the last returns where each piece of each document lies.
+
+Defined results: nulls, repeated ids and rows, empty and very long texts and extra columns are as each operator says
+(a row without doc_id is judged by its text and never linked as a near duplicate); an empty table gives no rows. A stage's
+intermediate tables go once its result is written.
 """
 
 from __future__ import annotations
@@ -12,6 +16,7 @@ from pyspark.sql import DataFrame, SparkSession
 
 from tidelog.llm import decontaminate, exact_dedup, near_dedup, packing, quality
 from tidelog.llm.common import stored, table
+from tidelog.plans.scratch import scope
 
 
 def quality_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
@@ -51,7 +56,8 @@ STAGES: list[tuple[str, Callable[[SparkSession, DataFrame, str], DataFrame]]] =
 def run(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = table(spark, sf_dir, "documents")
     for name, stage in STAGES[:-1]:
-        docs = stored(stage(spark, docs, sf_dir), f"pipeline-{name}")
+        with scope(spark):
+            docs = stored(stage(spark, docs, sf_dir), f"pipeline-{name}", outlive=True)
     return STAGES[-1][1](spark, docs, sf_dir)
 
 
