@@ -20,6 +20,7 @@ from tests.llm.brute import SF
 from tests.oracle import differences
 from tidelog.llm import chat_format, decontaminate, encoding, exact_dedup, license_scan, near_dedup, packing, quality, queries, repeats, token_store, url_filter
 from tidelog.llm.common import components
+from tidelog.plans import scratch
 
 LONG = " ".join(f"w{k % 977}x{k}" for k in range(60_000))
 MESSY = [
@@ -510,6 +511,23 @@ def test_exact_edges(messy, empty):
     assert exact_dedup.report(empty).count() == 0
 
 
+def test_exact_groups_only_what_may_repeat(spark, monkeypatch):
+    """Rows of a kind that occurs once stay out of the grouping, also where the rows are many times the dense cells."""
+    rows = spark.range(40_000).select("id", F.when(F.col("id") < 300, F.col("id") % 100).otherwise(F.col("id")).cast("string").alias("text"))
+    seen = {}
+
+    def watch(df, name, *rest):
+        out = scratch.stored(df, name, *rest)
+        seen[name] = out
+        return out
+
+    monkeypatch.setattr(exact_dedup, "stored", watch)
+    r = exact_dedup.report(rows.withColumnRenamed("id", "doc_id"), max_cells=1 << 12)
+    assert r.where("not kept").count() == 200 and r.where("group_size = 3").count() == 300
+    assert seen["exact-repeated"].count() < 350
+    assert 100 <= seen["exact-groups"].count() < 1000
+
+
 def test_exact_drops_rows_not_ids(spark):
     made = [(7, "A", 1), (7, "B", 1), (9, "a", 1), (None, "A", 1), (None, "C", 1), (None, "D", 1), (None, "d", 1), (None, None, 1), (3, "", 1), (7, "A", 2)]
     d = spark.createDataFrame(made, "doc_id bigint, text string, _own int")

@@ -1,12 +1,14 @@
 """Exact duplicate removal in two Bloom passes, with DataFrame functions only.
 
-Pass 1 turns each text's hash into HASHES cells of a table whose counters stop at two, and keeps one bit for each
-cell that two rows have hit. Pass 2 looks every row up: a row with a cell that nobody else hit can have no copy
-and goes straight through. Only the others are grouped, by the full SHA-256 of the normalised text; they carry
-their id and hash, never the text.
+Pass 1 turns each text's hash into a cell of a wide table of WIDE cells a row, which grows with the input and lives in
+the exchange, as rows, and keeps the cells that two rows have hit. They and nothing else make the dense bit table of
+pass 2, with HASHES bits for each. Pass 2 looks every row up in it: a row with a bit that is not set can have no copy
+and goes straight through. Only the others are grouped, by the full SHA-256 of the normalised text; they carry their id
+and hash, never the text.
 
-The bit table has a bound (`max_cells`, a power of two; 2**26 cells are 8 MiB). Beyond about a tenth as many rows
-it fills up and lets more rows through to the grouping, which stays exact.
+The dense table is sized by the repeated texts, not by the rows, and has a bound as it is broadcast (`max_cells`, a
+power of two; 2**26 cells are 8 MiB). Beyond about 4 million different repeated texts it fills up and lets more rows
+through to the grouping, which stays exact.
 
 Defined results
 ---------------
@@ -28,8 +30,11 @@ from pyspark.sql import functions as F
 
 from .common import ascii_lower, stored, text_of
 
+#: Cells of the wide table a row: about one row in WIDE that has no copy is taken for one that may.
+WIDE = 256
+#: Bits of the dense table that a repeated cell sets, and its cells for each.
 HASHES = 2
-CELLS_PER_ROW = 16
+CELLS_PER_REPEAT = 16
 MAX_CELLS = 1 << 26
 
 
@@ -37,17 +42,21 @@ def _hash_of(docs: DataFrame, text_col: str) -> Column:
     return F.sha2(ascii_lower(text_of(docs, text_col)).cast("binary"), 256)
 
 
-def _cells(key: Column, cells: int) -> list[Column]:
-    return [F.pmod(F.xxhash64(key, F.lit(i)), F.lit(cells)) for i in range(HASHES)]
+def _power(n: int) -> int:
+    return 1 << max(12, math.ceil(math.log2(max(1, n))))
 
 
-def _bits(keys: DataFrame, cells: int) -> DataFrame:
-    """One row: the words of the bit table, 64 cells each, 0 where no cell was hit twice."""
-    hit = keys.select(F.explode(F.array(*_cells(F.col("key"), cells))).alias("cell"))
-    twice = hit.groupBy("cell").agg(F.count("*").alias("n")).where("n > 1")
-    words = twice.groupBy(F.expr("cell div 64").alias("w")).agg(F.expr("bit_or(shiftleft(1L, cast(cell % 64 as int)))").alias("m"))
-    # Every 4096 words make one page of hexadecimal text, so that the last step joins few rows.
-    spark = keys.sparkSession
+def _wide(key: Column, wide: int) -> Column:
+    return F.pmod(F.xxhash64(key), F.lit(wide))
+
+
+def _bits(repeated: DataFrame, cells: int) -> DataFrame:
+    """One row: the words of the dense table, 64 cells each, for the wide cells that two rows have hit."""
+    places = F.array(*[F.pmod(F.xxhash64("cell", F.lit(i)), F.lit(cells)) for i in range(HASHES)])
+    hit = repeated.select(F.explode(places).alias("cell"))
+    words = hit.groupBy(F.expr("cell div 64").alias("w")).agg(F.expr("bit_or(shiftleft(1L, cast(cell % 64 as int)))").alias("m"))
+    # Every 4096 words make one page, so that the last step joins few rows.
+    spark = repeated.sparkSession
     full = words.unionByName(spark.range(cells // 64).select(F.col("id").alias("w"), F.lit(0).cast("long").alias("m")))
     full = full.groupBy("w").agg(F.expr("bit_or(m)").alias("m"))
     pages = full.groupBy(F.expr("w div 4096").alias("p")).agg(F.transform(F.array_sort(F.collect_list(F.struct("w", "m"))), lambda x: x["m"]).alias("ms"))
@@ -58,14 +67,17 @@ def report(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", max_
     """doc_id, keep_id, group_size, kept, text_sha256: one row for each input row."""
     rows = docs.select(docs[id_col].alias("doc_id"), _hash_of(docs, text_col).alias("key"))
     rows = stored(rows, "exact-keys")  # texts are read and hashed once; all that follows works on ids and hashes
-    n = rows.count()
-    cells = max(1 << 12, min(max_cells, 1 << math.ceil(math.log2(max(1, n) * CELLS_PER_ROW))))
-    bits = stored(_bits(rows.select("key"), cells), "exact-bits")
+    wide = _power(rows.count() * WIDE)
+    hit = rows.groupBy(_wide(F.col("key"), wide).alias("cell")).agg(F.count("*").alias("n"))
+    repeated = stored(hit.where("n > 1").select("cell"), "exact-repeated")
+    cells = min(max_cells, _power(repeated.count() * CELLS_PER_REPEAT))
+    bits = stored(_bits(repeated, cells), "exact-bits")
     spark = docs.sparkSession
     rows.createOrReplaceTempView(rv := f"_rows_{id(rows)}")
     bits.createOrReplaceTempView(bv := f"_bits_{id(bits)}")
-    test = " and ".join(f"(shiftright(element_at((select bits from {bv}), cast(pmod(xxhash64(key, {i}), {cells}) div 64 as int) + 1), cast(pmod(xxhash64(key, {i}), {cells}) % 64 as int)) & 1) = 1" for i in range(HASHES))
-    marked = spark.sql(f"select doc_id, key, ({test}) as maybe from {rv}")
+    places = [f"pmod(xxhash64(cell, {i}), {cells})" for i in range(HASHES)]
+    test = " and ".join(f"(shiftright(element_at((select bits from {bv}), cast({p} div 64 as int) + 1), cast({p} % 64 as int)) & 1) = 1" for p in places)
+    marked = spark.sql(f"select doc_id, key, ({test}) as maybe from (select doc_id, key, pmod(xxhash64(key), {wide}) as cell from {rv})")
     spark.catalog.dropTempView(rv)
     spark.catalog.dropTempView(bv)
     alone = marked.where("not maybe").select("doc_id", F.col("doc_id").alias("keep_id"), F.lit(1).cast("long").alias("group_size"), F.lit(True).alias("kept"), F.col("key").alias("text_sha256"))
