@@ -556,6 +556,20 @@ def test_repeats_generated(spark):
     assert repeat_got(repeats.report(d)) == brute.repeats(made)
 
 
+def test_repeats_bits_are_of_shared_anchors(spark, monkeypatch, docs, rows):
+    """A bit table far smaller than the anchors are many stays nearly empty, and a full one changes no result."""
+    rng = np.random.default_rng(5)
+    texts = [rng.integers(33, 127, 20_000).astype(np.uint8).tobytes().decode() for _ in range(60)]
+    made = [(i, t + texts[0][:5000]) for i, t in enumerate(texts)]
+    table = repeats.shared_cells(repeats._key_column(spark.createDataFrame(made, "doc_id bigint, text string").repartition(6)), 32, 17, 32)
+    data = np.frombuffer(texts[0][:5000].encode(), np.uint8)
+    shared = np.unique(repeats.anchors(data, np.array([0, len(data)]))[1] >> np.uint64(47)).astype(np.int64)
+    assert (table[shared >> 3] >> (shared & 7).astype(np.uint8) & 1).all()
+    assert np.unpackbits(table).sum() < len(shared) + 200
+    monkeypatch.setattr(repeats, "MAX_CELL_BITS", 16)
+    assert repeat_got(repeats.report(docs)) == brute.repeats(rows)
+
+
 def test_maximal_repeats():
     rng = np.random.default_rng(0)
     for _ in range(100):

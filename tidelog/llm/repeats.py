@@ -4,7 +4,8 @@ Every MIN-byte string has an anchor: its q-gram with the least hash (rightmost o
 strings have equal anchors, so the strings of a text fall into runs with one anchor, and all equal strings of the
 corpus meet under their anchor. The bytes of a run are its context.
 
-1. Anchors that occur in one text only are left out with a bounded bit table of cells that two texts have hit.
+1. Anchors that occur in one text only are left out: of a wide table of cells, dealt in slices and growing with the
+   texts, those that two texts have hit go into a bit table of bounded size.
 2. The contexts of the others are dealt by anchor. Equal contexts are one, with its smallest text; a context of
    several texts is a repeat as a whole.
 3. Where an anchor has different contexts, their suffixes make an enhanced suffix array: sorted, with the lengths of
@@ -16,9 +17,9 @@ So the groups together cover every byte of every string that occurs in two texts
 from them what a text shares with a text of a smaller id; texts and their ranges then meet in parts of about
 BUCKET_BYTES.
 
-The bit table has at most 2**MAX_CELL_BITS bits; when a corpus fills it, more contexts are dealt and the results stay
-exact. A bucket holds the contexts of about BUCKET_BYTES of text; under one anchor, equal contexts of a task are sent
-once for each text, and only different ones are sorted.
+The bit table has at most 2**MAX_CELL_BITS bits, set by shared anchors alone; when these fill it, more contexts are
+dealt and the results stay exact. A bucket holds the contexts of about BUCKET_BYTES of text; under one anchor, equal
+contexts of a task are sent once for each text, and only different ones are sorted.
 
 Defined results
 ---------------
@@ -44,6 +45,11 @@ from .common import _MULT, _powers, batch_of, mix, passes, spans, stored, text_o
 
 MIN, Q = 50, 16
 MAX_CELL_BITS = 28
+#: The wide table has 2**WIDE_BITS times the cells that the bit table would have without a bound: one anchor of a single
+#: text in 300, or fewer, is taken for a shared one.
+WIDE_BITS = 6
+#: A cell and a text's place in its batch make one number of 64 bits.
+MAX_WIDE_BITS = 46
 #: Text, about, whose anchors one slice of the bit table gets; a slice is one task's work.
 SLICE_BYTES = 32 << 20
 BUCKET_BYTES = 4 << 20
@@ -101,10 +107,9 @@ def _key_column(docs: DataFrame) -> DataFrame:
     return d.select("doc_id", F.hash("text").alias("digest"), "text")
 
 
-def shared_cells(rows: DataFrame, bits: int, slices: int) -> np.ndarray:
-    """A table of 2**bits bits: cells of anchors that two texts at least have hit. slices: a power of two."""
-    shift = np.uint64(64 - bits)
-    per = (1 << bits) // slices
+def shared_cells(rows: DataFrame, wide: int, bits: int, slices: int) -> np.ndarray:
+    """A table of 2**bits bits: anchors whose cells, of 2**wide, two texts at least have hit. slices: a power of two."""
+    per = (1 << wide) // slices
     schema = pa.schema([("slice", pa.int32()), ("cells", pa.binary()), ("again", pa.binary())])
 
     def run(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -120,8 +125,8 @@ def shared_cells(rows: DataFrame, bits: int, slices: int) -> np.ndarray:
         for b in batches:
             for i, _, data, offs in passes(b.column(2).filter(b.column(0).is_valid()), PASS):
                 doc, anchor, _, _ = anchors(data, offs)
-                one = np.unique((doc.astype(np.uint64) << np.uint64(bits)) | (anchor >> shift))
-                held.append((one & np.uint64((1 << bits) - 1)).astype(np.int64))
+                one = np.unique((doc.astype(np.uint64) << np.uint64(wide)) | (anchor >> np.uint64(64 - wide)))
+                held.append((one & np.uint64((1 << wide) - 1)).astype(np.int64))
                 size += len(one)
                 if size > 1 << 22:
                     yield flush()
@@ -130,16 +135,18 @@ def shared_cells(rows: DataFrame, bits: int, slices: int) -> np.ndarray:
             yield flush()
 
     def join(t: pa.Table) -> pa.Table:
-        out = np.zeros(per, bool)
-        seen = np.zeros(per, bool)
-        for cells, again in zip(t.column("cells").to_pylist(), t.column("again").to_pylist(), strict=True):
-            c = np.frombuffer(cells, np.uint32)
-            out[c] |= seen[c] | np.unpackbits(np.frombuffer(again, np.uint8), count=len(c)).astype(bool)
-            seen[c] = True
+        cells = np.concatenate([np.frombuffer(c, np.uint32) for c in t.column("cells").to_pylist()])
+        again = np.concatenate([np.unpackbits(np.frombuffer(m, np.uint8), count=len(c) // 4) for c, m in zip(t.column("cells").to_pylist(), t.column("again").to_pylist(), strict=True)])
+        # Twice in one batch of texts, or in two batches. The lowest bit tells which.
+        both = np.sort(cells.astype(np.int64) << 1 | again)
+        cell = both >> 1
+        shared = np.concatenate([cell[(both & 1).astype(bool)], cell[1:][cell[1:] == cell[:-1]]])
+        out = np.zeros((1 << bits) // slices, bool)
+        out[shared >> (wide - bits)] = True
         return pa.table({"slice": pa.array([t.column("slice")[0].as_py()], pa.int32()), "bits": pa.array([np.packbits(out, bitorder="little").tobytes()], pa.binary())})
 
     t = rows.mapInArrow(run, "slice int, cells binary, again binary").groupBy("slice").applyInArrow(join, "slice int, bits binary").toArrow()
-    table = np.zeros((slices, per // 8), np.uint8)
+    table = np.zeros((slices, (1 << bits) // slices // 8), np.uint8)
     for k, x in zip(t.column("slice").to_pylist(), t.column("bits").to_pylist(), strict=True):
         table[k] = np.frombuffer(x, np.uint8)
     return table.ravel()
@@ -457,8 +464,10 @@ def _united(lo: np.ndarray, hi: np.ndarray, heads: np.ndarray) -> tuple[np.ndarr
 
 def removals(rows: DataFrame, total: int, parts: int) -> DataFrame:
     """(part, data): what each text shares with a text of a smaller id. rows: doc_id, digest, text; total: their bytes."""
-    bits = min(MAX_CELL_BITS, max(20, math.ceil(math.log2(total / 4 + 1))))
-    table = shared_cells(rows, bits, 1 << max(5, min(bits - 10, math.ceil(math.log2(total / SLICE_BYTES + 1)))))
+    size = max(20, math.ceil(math.log2(total / 4 + 1)))
+    bits = min(MAX_CELL_BITS, size)
+    slices = 1 << max(5, min(bits - 10, math.ceil(math.log2(total / SLICE_BYTES + 1))))
+    table = shared_cells(rows, min(size + WIDE_BITS, MAX_WIDE_BITS), bits, slices)
     blobs = contexts(rows, bits, table, max(32, -(-total // BUCKET_BYTES)))
 
     def run(t: pa.Table) -> pa.Table:
