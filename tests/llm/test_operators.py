@@ -611,6 +611,13 @@ def test_leaks(spark, docs, rows):
     assert clean.count() == docs.count() - len({i for i, _ in got}) and clean.columns == docs.columns
 
 
+def test_item_blocks_count_words_on_lines(spark, monkeypatch):
+    monkeypatch.setattr(decontaminate, "ITEM_WORDS", 10)
+    made = [(i, sep.join(f"w{i}x{k}" for k in range(6))) for i, sep in enumerate(["\n", "\t", " ", "\r\n", "  "])] + [(5, ""), (6, None)]
+    items = spark.createDataFrame(made, "item_id bigint, text string").coalesce(1)
+    assert [[i for i, _ in b] for b in decontaminate.item_blocks(items)] == [[0], [1], [2], [3], [4, 5, 6]]
+
+
 def test_leaks_generated(spark, monkeypatch):
     rng = random.Random(7)
     word = lambda: f"v{rng.randrange(400)}"

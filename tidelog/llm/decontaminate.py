@@ -30,6 +30,7 @@ from itertools import combinations
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
+from pyspark.sql import functions as F
 
 from .common import Words, batch_of, passes, small_batches, string_buffers, text_of
 
@@ -38,6 +39,8 @@ THRESHOLD = 0.75
 BITS, BLOCKS, BLOCK_RADIUS = 64, 8, 2
 RADIUS = BLOCKS * (BLOCK_RADIUS + 1) - 1
 ITEM_WORDS = 1 << 20
+#: A word, as `Words` splits them.
+WORD = r"[^\x20\x09-\x0D]+"
 
 MATCHES = "doc_id bigint, item_id bigint, similarity double, hamming int, first_word bigint, n_words int"
 
@@ -149,8 +152,9 @@ def short_matches(w: Words, doc: int, items: Items) -> list[tuple[int, float, in
 def item_blocks(benchmark: DataFrame) -> Iterator[list]:
     """The items in blocks with a bound of words, each ordered by id; read from the driver one after the other."""
     block, words = [], 0
-    for r in benchmark.select(benchmark["item_id"].cast("bigint").alias("item_id"), text_of(benchmark).alias("text")).toLocalIterator():
-        n = r["text"].count(" ") + 1
+    items = benchmark.select(benchmark["item_id"].cast("bigint").alias("item_id"), text_of(benchmark).alias("text"))
+    for r in items.select("*", F.regexp_count("text", F.lit(WORD)).alias("words")).toLocalIterator():
+        n = r["words"]
         if block and words + n > ITEM_WORDS:
             yield block
             block, words = [], 0
