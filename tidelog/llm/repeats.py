@@ -53,7 +53,7 @@ MAX_WIDE_BITS = 46
 #: Text, about, whose anchors one slice of the bit table gets; a slice is one task's work.
 SLICE_BYTES = 32 << 20
 BUCKET_BYTES = 4 << 20
-FLUSH_BYTES = 48 << 20
+FLUSH_BYTES = 32 << 20
 #: Text that one numpy pass takes.
 PASS = 1 << 16
 
