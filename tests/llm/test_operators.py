@@ -596,7 +596,10 @@ def test_repeat_edges(messy, empty):
     got = repeats.report(messy)
     r = {x["doc_id"]: x for x in got.collect()}
     assert got.count() == len(MESSY) and r[9]["n_removed"] == len(LONG) and r[8]["n_removed"] == 0
-    assert r[None]["n_removed"] == 0 and r[3]["n_bytes"] == 0 and r[1]["n_removed"] == 0
+    nulls = [x for x in got.collect() if x["doc_id"] is None]
+    own = [t or "" for i, t, *_ in MESSY if i is None]
+    assert sorted((x["n_bytes"], x["n_removed"], x["n_spans"], x["kept_sha256"]) for x in nulls) == sorted((len(t.encode()), 0, 0, hashlib.sha256(t.encode()).hexdigest()) for t in own)
+    assert r[3]["n_bytes"] == 0 and r[1]["n_removed"] == 0
     assert repeats.report(empty).count() == 0
 
 

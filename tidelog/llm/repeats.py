@@ -358,8 +358,9 @@ def _same_contexts(anchor: np.ndarray, length: np.ndarray, text: np.ndarray, at:
 RANGES = "part int, data binary"
 
 
-def part_of(doc: np.ndarray, parts: int) -> np.ndarray:
-    return (mix(doc.astype(np.uint64), 0x9A27) % np.uint64(parts)).astype(np.int64)
+def part_of(doc: np.ndarray, digest: np.ndarray, parts: int) -> np.ndarray:
+    """The part where a text and its ranges meet; different texts with one doc_id part."""
+    return (mix(doc.astype(np.uint64) ^ mix(digest.astype(np.int64).astype(np.uint64)), 0x9A27) % np.uint64(parts)).astype(np.int64)
 
 
 def bucket_removals(t: pa.Table, parts: int) -> pa.Table:
@@ -410,7 +411,7 @@ def bucket_removals(t: pa.Table, parts: int) -> pa.Table:
     lo, hi, who = (np.concatenate(x) for x in (lo, hi, who))
     if not len(lo):
         return schema.empty_table()
-    part = part_of(doc, parts)[who]
+    part = part_of(doc, digest, parts)[who]
     order = np.lexsort((lo, digest[who], doc[who], part))
     lo, hi, who, part = lo[order], hi[order], who[order], part[order]
     d, g = doc[who], digest[who]
@@ -487,7 +488,7 @@ def report(docs: DataFrame) -> DataFrame:
     def numbered(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         own = pa.schema([("part", pa.int32()), ("doc_id", pa.int64()), ("digest", pa.int32()), ("text", pa.string())])
         for b in batches:
-            part = part_of(b.column(0).fill_null(0).to_numpy(zero_copy_only=False), parts)
+            part = part_of(b.column(0).to_numpy(zero_copy_only=False), b.column(1).to_numpy(zero_copy_only=False), parts)
             yield batch_of(own, part.astype(np.int32), b.column(0), b.column(1), b.column(2))
 
     def run(texts: pa.Table, ranges: pa.Table) -> pa.Table:
@@ -513,5 +514,9 @@ def report(docs: DataFrame) -> DataFrame:
             return schema.empty_table()
         return pa.Table.from_arrays([pa.array(c, f.type) for c, f in zip(zip(*out, strict=True), schema, strict=True)], schema=schema)
 
-    dealt = rows.mapInArrow(numbered, "part int, doc_id bigint, digest int, text string")
-    return dealt.groupBy("part").cogroup(found.groupBy("part")).applyInArrow(run, "doc_id bigint, n_bytes bigint, n_removed bigint, n_spans bigint, kept_sha256 string")
+    dealt = rows.where("doc_id is not null").mapInArrow(numbered, "part int, doc_id bigint, digest int, text string")
+    cut = dealt.groupBy("part").cogroup(found.groupBy("part")).applyInArrow(run, "doc_id bigint, n_bytes bigint, n_removed bigint, n_spans bigint, kept_sha256 string")
+    # Rows without doc_id share nothing and needn't travel.
+    none = F.lit(0).cast("bigint")
+    whole = rows.where("doc_id is null").select("doc_id", F.octet_length("text").cast("bigint").alias("n_bytes"), none.alias("n_removed"), none.alias("n_spans"), F.sha2(F.col("text").cast("binary"), 256).alias("kept_sha256"))
+    return cut.unionByName(whole)
