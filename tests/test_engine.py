@@ -393,3 +393,31 @@ def test_key_order_of_the_whole_log(spark):
     rows = [(r["user_key"], r["seq_num"], r["write_type"]) for r in orders_log(spark, SF).collect()]
     want = [(*r, i) for i, r in enumerate(sorted(rows, key=lambda r: (r[0], -r[1])))]
     assert len(want) > 100 and [tuple(r) for r in queries.kv_key_order(spark, SF).collect()] == want
+
+
+def test_lines_of_many_files_keep_their_order(spark, tmp_path):
+    from tests.oracle import differences
+    from tidelog import queries
+
+    folder = tmp_path / "many [1] {x}"
+    folder.mkdir()
+    numbers = [*range(30), 99999, 100000]
+    for n in reversed(numbers):
+        (folder / f"part-{n:05}").write_text(f"g {n}\n\nd {n}\n")
+    (folder / "_SUCCESS").write_text("p 1 1\n")
+    want = [(3 * i + j, line) for i, n in enumerate(numbers) for j, line in enumerate((f"g {n}", "", f"d {n}"))]
+    escaped = str(folder).replace("[", "\\[").replace("]", "\\]").replace("{", "\\{").replace("}", "\\}")
+    assert [tuple(r) for r in commands.read_lines(spark, escaped).orderBy("pos").collect()] == want
+    (tmp_path / "empty").mkdir()
+    assert commands.read_lines(spark, str(tmp_path / "empty")).count() == 0
+    # The query, with a text of many files.
+    query, sql = next((q, sql) for name, q, sql in queries.ALL if name == "kv_text_workload")
+    held = {"spark.sql.shuffle.partitions": "25", "spark.sql.adaptive.coalescePartitions.enabled": "false"}
+    before = {k: spark.conf.get(k) for k in held}
+    try:
+        for k, v in held.items():
+            spark.conf.set(k, v)
+        assert differences(spark, query, sql) == []
+    finally:
+        for k, v in before.items():
+            spark.conf.set(k, v)

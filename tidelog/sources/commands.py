@@ -2,6 +2,9 @@
 
 from __future__ import annotations
 
+import re
+from collections.abc import Iterator
+
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -21,9 +24,29 @@ h|help              print this table
 q|quit              leave"""
 
 
+def _by_name(path: str) -> list[str | int]:
+    """Numbers in a name count by their value: part-100000 comes after part-99999."""
+    return [int(x) if i % 2 else x for i, x in enumerate(re.split(r"([0-9]+)", path))]
+
+
+def _files(fs, found) -> Iterator[str]:
+    """The files of a JVM array of file statuses in the order of their names, folders by what they hold."""
+    for x in sorted(found or [], key=lambda x: _by_name(x.getPath().toString())):
+        if x.isDirectory():
+            yield from _files(fs, [y for y in fs.listStatus(x.getPath()) if y.getPath().getName()[0] not in "_."])
+        else:
+            yield re.sub(r"([\\*?\[\]{}])", r"\\\1", x.getPath().toString())
+
+
 def read_lines(spark: SparkSession, path: str) -> DataFrame:
-    """(pos, line) of a text file, in the order of the file."""
-    return spark.sparkContext.textFile(path).zipWithIndex().map(lambda x: (x[1], x[0])).toDF("pos bigint, line string")
+    """(pos, line) of a text file, in the order of the file; of a folder, file by file in the order of their names.
+
+    The files are named one by one, as a listing of a folder comes in any order.
+    """
+    at = spark._jvm.org.apache.hadoop.fs.Path(path)
+    fs = at.getFileSystem(spark._jsc.hadoopConfiguration())
+    names = ",".join(_files(fs, fs.globStatus(at))) or path
+    return spark.sparkContext.textFile(names).zipWithIndex().map(lambda x: (x[1], x[0])).toDF("pos bigint, line string")
 
 
 def parse(lines: DataFrame, line: str = "line") -> DataFrame:
